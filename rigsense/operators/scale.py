@@ -23,14 +23,15 @@ BROADCAST_ROWS = 1_000_000  # largest lookup that is sent to every executor
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes behind all scans of ``df`` as Catalyst estimates them, or None if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
-        )
-    except AttributeError:  # no JVM handle, e.g. a remote client
+    """Bytes behind all scans of ``df`` as Catalyst knows them, or None if unknown.
+
+    It sums the leaves of the analyzed plan: no job and no optimizer run.
+    """
+    jvm_frame = getattr(df, "_jdf", None)
+    if jvm_frame is None:  # a remote client has no plan to ask
         return None
+    leaves = jvm_frame.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def _bytes_conf(spark: SparkSession) -> int:
