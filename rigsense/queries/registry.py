@@ -48,7 +48,8 @@ def rounded(body: str, doubles: Sequence[str]) -> str:
 
 def d(x: float) -> str:
     """A double literal; a bare 0.5 would be a decimal."""
-    return f"{float(x)!r}e0"
+    text = repr(float(x))
+    return text if "e" in text else f"{text}e0"
 
 
 def num(c: str) -> str:

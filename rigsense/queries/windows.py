@@ -58,13 +58,13 @@ cte("feature_set", "SELECT id, \"timestamp\", miner_id, operating_mode, failure_
     + ", ".join(f"median({c}) AS {c}" for c in S.NUMERIC_FEATURES) + " FROM features_open) AS m", ["features_open"])
 
 for _c in [*TEMPORAL, "hashrate_degradation_pct_12h", "te_drift_pct_4h"]:
-    add(f"D_{_c}", lambda s, p, c=_c: f.temporal_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
+    add(_c, lambda s, p, c=_c: f.temporal_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
         f"SELECT id, {_c} FROM features_open", ["features_open"], [_c])
 for _c in PEER:
-    add(f"D_{_c}", lambda s, p, c=_c: f.peer_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
+    add(_c, lambda s, p, c=_c: f.peer_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
         f"SELECT id, {_c} FROM features_open", ["features_open"], [_c])
 for _c in [c for c in ROW if c not in ("hashrate_degradation_pct_12h", "te_drift_pct_4h")]:
-    add(f"D_{_c}", lambda s, p, c=_c: f.row_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
+    add(_c, lambda s, p, c=_c: f.row_features(f.ensure_inputs(v.kpi(s, p))).select("id", c),
         f"SELECT id, {_c} FROM features_open", ["features_open"], [_c])
 
 _ALL = ["id", "timestamp", "miner_id", *S.NUMERIC_FEATURES, "operating_mode", S.TARGET]
