@@ -105,6 +105,12 @@ def html_escape(c: Column) -> Column:
     return out
 
 
+def round_half_even(c: Column, digits: int) -> Column:
+    """Round a double the way numeric array libraries do: scale, round half to even, scale back."""
+    scale = float(10**digits)
+    return F.rint(c * lit_d(scale)) / lit_d(scale)
+
+
 def r6(c: Column) -> Column:
     """Round to six digits, nudged off decimal ties.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import count_where, flag, lit_d, ratio, safe_corr
+from rigsense.functions.exprs import count_where, flag, lit_d, ratio, round_half_even, safe_corr
 from rigsense.operators.scale import attach_row, exact_quantiles
 
 
@@ -34,34 +34,61 @@ def time_window(
 
 
 # --------------------------------------------------------------------------- correlations
-def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+def _centre(column: str) -> float:
+    lo, hi = S.PLAUSIBLE_RANGES.get(column, (0.0, 0.0))
+    return (lo + hi) / 2
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson r of every pair (a, b) with a not after b, in one scan.
+
+    Rows are grouped by which columns are missing. Inside such a group every column is either
+    complete or absent, so one sum per column and one per pair of columns are enough, and the
+    groups that have both columns add up to the pair. Sums are taken around the middle of a
+    column's plausible range, which keeps them accurate.
+    """
+    cols = list(columns)
+    x = {c: f"(CAST(`{c}` AS DOUBLE) - {_centre(c)}D)" for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    missing = "concat(" + ", ".join(f"if(`{c}` IS NULL, '1', '0')" for c in cols) + ")"
+    sums = df.groupBy(F.expr(missing).alias("_missing")).agg(
+        F.expr("CAST(count(1) AS DOUBLE)").alias("n"),
+        *[F.expr(f"sum({x[c]})").alias(f"s_{c}") for c in cols],
+        *[F.expr(f"sum({x[a]} * {x[b]})").alias(f"p_{a}~{b}") for a, b in pairs],
+    )
+    cells = ", ".join(
+        f"struct('{a}' AS a, '{b}' AS b, n, `s_{a}` AS sa, `s_{b}` AS sb, `p_{a}~{a}` AS saa, "
+        f"`p_{b}~{b}` AS sbb, `p_{a}~{b}` AS sab)" for a, b in pairs)
+    long = sums.select(F.expr(f"inline(array({cells}))"))
+    total = long.filter("sab IS NOT NULL").groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    # What rounding leaves of a constant column's spread counts as no spread.
+    spread = "if({0}{0} - s{0} * s{0} / n > 1e-12D * {0}{0}, sqrt({0}{0} - s{0} * s{0} / n), NULL)"
+    va, vb = (spread.format(c).replace(f"{c}{c}", f"s{c}{c}") for c in "ab")
+    r = F.expr(f"(sab - sa * sb / n) / ({va} * {vb})")
+    return total.select("a", "b", r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(S.EDA_COLUMNS)) -> DataFrame:
-    """Pairwise-complete Pearson matrix as (left, right, r); all cells from one aggregate."""
+    """The full matrix as (left, right, r); r is NULL where it is undefined."""
     cols = [c for c in columns if c in df.columns]
-    num = {c: F.col(c).cast("double") for c in cols}
-    row = df.agg(*[safe_corr(num[a], num[b]).alias(f"{a}~{b}") for a, b in _pairs(cols)])
-    cells = {p: F.col(f"`{p[0]}~{p[1]}`") for p in _pairs(cols)}
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                 cells[(a, b) if (a, b) in cells else (b, a)].alias("r"))
-        for a in cols for b in cols
-    ])))
+    half = pair_correlations(df, cols)
+    found = half.select(F.col("a").alias("left"), F.col("b").alias("right"), "r").unionByName(
+        half.filter("a <> b").select(F.col("b").alias("left"), F.col("a").alias("right"), "r"))
+    grid = df.sparkSession.createDataFrame([(a, b) for a in cols for b in cols], "left string, right string")
+    return grid.join(found, ["left", "right"], "left")
 
 
 def correlation_api(df: DataFrame, columns: Sequence[str] = tuple(S.API_CORRELATION_COLUMNS)) -> DataFrame:
     """One row of named, rounded correlations; no row when every cell is undefined."""
-    row = df.agg(*[
-        F.round(safe_corr(F.col(a), F.col(b)), 3).alias(f"{a}~{b}") for a, b in _pairs(columns)
-    ])
-    known = {p: F.col(f"`{p[0]}~{p[1]}`") for p in _pairs(columns)}
-    any_value = F.coalesce(*known.values()).isNotNull()
-    return row.filter(any_value).select(*[
-        known[(a, b) if (a, b) in known else (b, a)].alias(f"corr__{a}__{b}")
-        for a in columns for b in columns
-    ])
+    cols = list(columns)
+    cells = [(a, b) if cols.index(a) <= cols.index(b) else (b, a) for a in cols for b in cols]
+    row = pair_correlations(df, cols).agg(*[
+        F.expr(f"round(max(CASE WHEN a = '{a}' AND b = '{b}' THEN r END), 3)").alias(f"{a}~{b}")
+        for a, b in dict.fromkeys(cells)
+    ], F.max("r").alias("_any"))
+    names = [f"corr__{a}__{b}" for a in cols for b in cols]
+    return row.filter("_any IS NOT NULL").select(*[F.col(f"`{a}~{b}`").alias(n) for (a, b), n in zip(cells, names)])
 
 
 def tradeoff_summary(df: DataFrame, columns: Sequence[str] = tuple(S.TRADEOFF_COLUMNS)) -> DataFrame:
@@ -69,12 +96,12 @@ def tradeoff_summary(df: DataFrame, columns: Sequence[str] = tuple(S.TRADEOFF_CO
     num = {c: F.col(c).cast("double") for c in columns}
     known = df.filter(F.col("operating_mode").isNotNull())
     stats = known.groupBy("operating_mode").agg(
-        *[F.bround(F.avg(x), 4).alias(f"{c}_mean") for c, x in num.items()],
-        *[F.bround(F.stddev_samp(x), 4).alias(f"{c}_std") for c, x in num.items()],
+        *[round_half_even(F.avg(x), 4).alias(f"{c}_mean") for c, x in num.items()],
+        *[round_half_even(F.stddev_samp(x), 4).alias(f"{c}_std") for c, x in num.items()],
     )
     medians = exact_quantiles(
         known, {c: (x, 0.5) for c, x in num.items()}, ["operating_mode"], few_groups=True
-    ).select("operating_mode", *[F.bround(c, 4).alias(f"{c}_median") for c in columns])
+    ).select("operating_mode", *[round_half_even(F.col(c), 4).alias(f"{c}_median") for c in columns])
     order = [f"{c}_{s}" for c in columns for s in ("mean", "median", "std")]
     return stats.join(medians, "operating_mode").select("operating_mode", *order)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import clamp, lit_d, ratio, safe_corr
+from rigsense.functions.exprs import clamp, lit_d, ratio, round_half_even, safe_corr
 from rigsense.operators.quality import median_fill
 from rigsense.operators.scale import attach_row, exact_quantiles, over_device_rows
 
@@ -74,7 +74,7 @@ def te_worker(cooling_ratio: float = S.COOLING_RATIO, cooling: Column | None = N
         * environment_stress(F.coalesce(F.col("ambient_temperature_c"), lit_d(S.T_REF)))
         * mode_factor(F.col("operating_mode"))
     )
-    return F.round(ratio(base, stress), 6)
+    return round_half_even(ratio(base, stress), 6)
 
 
 def te_snapshot() -> Column:
@@ -90,7 +90,7 @@ def te_snapshot() -> Column:
 
 
 def efficiency() -> Column:
-    return F.round(ratio(F.col("asic_power_w"), F.col("asic_hashrate_ths")), 4)
+    return round_half_even(ratio(F.col("asic_power_w"), F.col("asic_hashrate_ths")), 4)
 
 
 def power_instability(df: DataFrame, window: int = POWER_WINDOW, **skew) -> DataFrame:
@@ -103,7 +103,7 @@ def power_instability(df: DataFrame, window: int = POWER_WINDOW, **skew) -> Data
         power = F.col("asic_power_w")
         enough = F.count(power).over(frame) >= 2
         cv = F.when(enough, ratio(F.stddev_pop(power).over(frame), F.avg(power).over(frame)))
-        index = F.round(clamp(F.coalesce(cv, lit_d(0.0)), 0.0, 1.0), 4)
+        index = round_half_even(clamp(F.coalesce(cv, lit_d(0.0)), 0.0, 1.0), 4)
         return part.withColumn("power_instability_index", index)
 
     return over_device_rows(df, build, back=window - 1, **skew)
@@ -119,7 +119,7 @@ def hashrate_deviation_by_mode(df: DataFrame, batch: str | None = None) -> DataF
     medians = exact_quantiles(
         df, {"_median": (F.col("asic_hashrate_ths"), 0.5)}, by, few_groups=batch is None
     )
-    dev = F.round(
+    dev = round_half_even(
         ratio(F.col("asic_hashrate_ths") - F.col("_median"), F.col("_median")) * lit_d(100.0), 2
     )
     side = F.broadcast(medians) if batch is None else medians
@@ -173,7 +173,7 @@ def kpi_summary(df: DataFrame) -> DataFrame:
         ])))
 
     modes = df.filter(F.col("operating_mode").isNotNull()).groupBy("operating_mode").agg(
-        *[F.bround(F.avg(m), 4).alias(m) for m in metrics]
+        *[round_half_even(F.avg(m), 4).alias(m) for m in metrics]
     )
     return long(stats, None, entries).unionByName(
         long(modes, F.col("operating_mode"), [("mode_average_metrics", m, F.col(m)) for m in metrics])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import clamp, flag, lit_d, ratio
+from rigsense.functions.exprs import clamp, flag, lit_d, ratio, round_half_even
 from rigsense.operators.fleet import newest
 from rigsense.operators.scale import exact_quantiles, running_totals
 
@@ -34,7 +34,7 @@ def score_rows(df: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Heuristic score of each row; band and flag look at the score before rounding."""
     raw = heuristic_score()
     return df.withColumns({
-        "risk_score": F.round(raw, 4),
+        "risk_score": round_half_even(raw, 4),
         "risk_band": risk_band(raw, S.BANDS_WORKER),
         "predicted_failure": raw >= lit_d(threshold),
     })

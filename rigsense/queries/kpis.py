@@ -45,18 +45,18 @@ add("kpi_te_worker", _worker, f"""SELECT id, {te_sql('coalesce(asic_power_w, 0e0
 {te_sql('coalesce(cooling_power_w, coalesce(asic_power_w, 0e0) * 0.3e0)')} AS with_cooling FROM holes""", ["holes"], ["plain", "with_cooling"])
 _prod = f"({_vs}) * ({_es}) * ({mode_factor('operating_mode')})"
 add("kpi_te_snapshot", lambda s, p: v.clean(s, p).select("id", k.te_snapshot().alias("te")),
-    f"SELECT id, round(asic_hashrate_ths / greatest(asic_power_w + asic_power_w * 0.24e0, 1e-6) / ({at_least(_prod, 1e-6)}), 6) AS te FROM clean",
+    f"SELECT id, CAST(round(CAST(asic_hashrate_ths / greatest(asic_power_w + asic_power_w * 0.24e0, 1e-6) / ({at_least(_prod, 1e-6)}) AS DECIMAL(38, 17)), 6) AS DOUBLE) AS te FROM clean",
     ["clean"], ["te"])
 add("kpi_efficiency", lambda s, p: v.clean(s, p).select("id", k.efficiency().alias("efficiency_j_per_th")),
-    "SELECT id, round(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th FROM clean", ["clean"], ["efficiency_j_per_th"])
+    "SELECT id, round_even(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th FROM clean", ["clean"], ["efficiency_j_per_th"])
 
 _fr = 'OVER (PARTITION BY miner_id ORDER BY "timestamp", id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)'
 _cv = f"CASE WHEN count(asic_power_w) {_fr} >= 2 THEN stddev_pop(asic_power_w) {_fr} / nullif(avg(asic_power_w) {_fr}, 0) END"
-cte("instability", f"SELECT * REPLACE (round({between(f'coalesce({_cv}, 0e0)', 0, 1)}, 4) AS power_instability_index) FROM clean", ["clean"])
+cte("instability", f"SELECT * REPLACE (round_even({between(f'coalesce({_cv}, 0e0)', 0, 1)}, 4) AS power_instability_index) FROM clean", ["clean"])
 add("kpi_power_instability", lambda s, p: k.power_instability(v.clean(s, p)).select("id", "power_instability_index"),
     "SELECT id, power_instability_index FROM instability", ["instability"], ["power_instability_index"])
 cte("mode_medians", "SELECT operating_mode AS m, median(asic_hashrate_ths) AS med FROM clean GROUP BY 1", ["clean"])
-_dev = "round((asic_hashrate_ths - med) / nullif(med, 0) * 100e0, 2)"
+_dev = "round_even((asic_hashrate_ths - med) / nullif(med, 0) * 100e0, 2)"
 add("kpi_hashrate_deviation_mode", lambda s, p: k.hashrate_deviation_by_mode(v.clean(s, p)).select("id", "hashrate_deviation_pct"),
     f"SELECT id, {_dev} AS hashrate_deviation_pct FROM clean JOIN mode_medians ON operating_mode = m", ["mode_medians", "clean"], ["hashrate_deviation_pct"])
 add("kpi_hashrate_deviation_batch", lambda s, p: k.hashrate_deviation_by_mode(
@@ -66,7 +66,7 @@ median(asic_hashrate_ths) AS med FROM clean GROUP BY 1, 2) AS g ON operating_mod
 
 _NEW = ["miner_id", "timestamp", "efficiency_j_per_th", "power_instability_index", "hashrate_deviation_pct", "true_efficiency_te", S.TARGET, "chip_temp_max"]
 add("kpi_incremental", lambda s, p: k.kpi_incremental(v.clean(s, p), v.kpi(s, p).filter("id % 3 <> 0")).select(*_NEW),
-    f"""SELECT miner_id, "timestamp", round(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th,
+    f"""SELECT miner_id, "timestamp", round_even(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th,
 power_instability_index, {_dev} AS hashrate_deviation_pct, {te_sql('coalesce(asic_power_w, 0e0) * 0.24e0')} AS true_efficiency_te,
 CAST(0 AS BIGINT) AS failure_within_horizon, chip_temp_max FROM instability JOIN mode_medians ON operating_mode = m
 WHERE NOT EXISTS (SELECT 1 FROM clean AS c WHERE c.id % 3 <> 0 AND c.miner_id = instability.miner_id AND c."timestamp" = instability."timestamp")""",

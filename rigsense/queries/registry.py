@@ -88,7 +88,7 @@ def te_sql(cooling: str) -> str:
     v = at_least("(coalesce(asic_voltage_v, 12.5e0) - 12.5e0) / 12.5e0", 0)
     t = at_least("(coalesce(ambient_temperature_c, 25e0) - 25e0) / 10e0", 0)
     return (
-        f"round(coalesce(asic_hashrate_ths, 1e0) / nullif(coalesce(asic_power_w, 1500e0) + {cooling}, 0)"
+        f"round_even(coalesce(asic_hashrate_ths, 1e0) / nullif(coalesce(asic_power_w, 1500e0) + {cooling}, 0)"
         f" / ((1e0 + 0.6e0 * ({v})) * (1e0 + 0.4e0 * ({t})) * ({mode_factor('operating_mode')})), 6)"
     )
 
@@ -128,14 +128,14 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "clean": ("""SELECT * REPLACE (CASE WHEN lower(trim(operating_mode)) IN ('eco', 'normal', 'turbo')
   THEN lower(trim(operating_mode)) ELSE 'normal' END AS operating_mode) FROM telemetry""", ("telemetry",)),
     "kpi": (f"""SELECT * EXCLUDE (source, failure_event),
-  round(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th,
+  round_even(asic_power_w / nullif(asic_hashrate_ths, 0), 4) AS efficiency_j_per_th,
   round((asic_hashrate_ths - 98e0) / 98e0 * 100e0, 2) AS hashrate_deviation_pct,
   {te_sql('coalesce(asic_power_w, 0e0) * 0.24e0')} AS true_efficiency_te,
   failure_event AS failure_within_horizon FROM clean""", ("clean",)),
     "rollup": ("""SELECT date_trunc('hour', "timestamp") AS bucket, miner_id,
   """ + ",\n  ".join(f"avg({s}) AS {n}" for n, s in S.ROLLUP_SOURCES.items()) + """,
   min(operating_mode) AS operating_mode_sample, count(*) AS samples FROM kpi GROUP BY 1, 2""", ("kpi",)),
-    "risk": (f"""SELECT *, round({_HEUR}, 4) AS risk_score, {band(_HEUR, S.BANDS_WORKER)} AS risk_band,
+    "risk": (f"""SELECT *, round_even({_HEUR}, 4) AS risk_score, {band(_HEUR, S.BANDS_WORKER)} AS risk_band,
   {_HEUR} >= 0.55e0 AS predicted_failure FROM kpi""", ("kpi",)),
     "raw_once": (f"""SELECT
   CASE WHEN id % 83 = 0 THEN 'not-a-time' WHEN id % 89 = 0 THEN NULL ELSE CAST("timestamp" AS VARCHAR) END AS "timestamp",
