@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import clamp, lit_d, ratio, to_number
+from rigsense.functions.exprs import lit_d, ratio, to_number
 from rigsense.operators.scale import attach_row
 
 # fixed values: policy defaults
@@ -123,18 +123,24 @@ def _field(df: DataFrame, name: str, type_: str = "double") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(type_)
 
 
-def _inputs(df: DataFrame) -> dict[str, Column]:
-    """Cleaned inputs. A missing or undefined score is 0."""
-    def number(name: str, default: float) -> Column:
-        return F.coalesce(F.nanvl(_field(df, name).cast("double"), F.lit(None).cast("double")), lit_d(default))
+INPUTS = ["_score", "_temp", "_power", "_rate", "_overtemp"]
+WORK = [*INPUTS, "_risk", "_all_in", "_failure_usd"]
 
-    return {
-        "score": clamp(number("risk_score", 0.0), 0.0, 1.0),
-        "temp": number("asic_temperature_c", 75.0),
-        "power": clamp(number("asic_power_w", 0.0), lo=0.0),
-        "rate": clamp(number("asic_hashrate_ths", 0.0), lo=0.0),
-        "overtemp": F.upper(F.coalesce(_field(df, "event_codes", "string"), F.lit(""))).contains("OVERTEMP"),
-    }
+
+def _clean_inputs(df: DataFrame) -> DataFrame:
+    """Cleaned inputs as columns, computed once per row. A missing or undefined score is 0."""
+    def number(name: str, default: float, lo: float | None = None, hi: float | None = None) -> Column:
+        x = F.coalesce(F.nanvl(_field(df, name).cast("double"), F.lit(None).cast("double")), lit_d(default))
+        x = x if hi is None else F.least(x, lit_d(hi))
+        return x if lo is None else F.greatest(x, lit_d(lo))
+
+    return df.withColumns({
+        "_score": number("risk_score", 0.0, 0.0, 1.0),
+        "_temp": number("asic_temperature_c", 75.0),
+        "_power": number("asic_power_w", 0.0, 0.0),
+        "_rate": number("asic_hashrate_ths", 0.0, 0.0),
+        "_overtemp": F.upper(F.coalesce(_field(df, "event_codes", "string"), F.lit(""))).contains("OVERTEMP"),
+    })
 
 
 def energy_price(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
@@ -143,25 +149,21 @@ def energy_price(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
     at = _field(df, "timestamp", "timestamp")
     if as_of is not None:
         at = F.coalesce(at, F.lit(as_of))
-    hour = F.hour(F.from_utc_timestamp(at, cfg["timezone"]))
-    base = F.coalesce(F.try_element_at(cfg["energy_price_schedule"], hour), cfg["energy_price_usd_per_kwh"])
+    timed = df.withColumn("local_hour", F.hour(F.from_utc_timestamp(at, cfg["timezone"])))
+    hour = F.col("local_hour")
     inside = F.exists(cfg["curtailment_windows"], lambda w: F.when(
         w["start_hour"] < w["end_hour"], (hour >= w["start_hour"]) & (hour < w["end_hour"])
     ).otherwise((hour >= w["start_hour"]) | (hour < w["end_hour"])))
-    inside = F.coalesce(inside, F.lit(False))
-    price = F.when(inside, base * cfg["curtailment_penalty_multiplier"]).otherwise(base)
-    return df.withColumns({
-        "local_hour": hour, "in_curtailment_window": inside,
-        "energy_price": F.greatest(price, lit_d(0.0)),
-    })
+    timed = timed.withColumn("in_curtailment_window", F.coalesce(inside, F.lit(False)))
+    base = F.coalesce(F.try_element_at(cfg["energy_price_schedule"], hour), cfg["energy_price_usd_per_kwh"])
+    penalty = F.when(F.col("in_curtailment_window"), cfg["curtailment_penalty_multiplier"]).otherwise(lit_d(1.0))
+    return timed.withColumn("energy_price", F.greatest(base * penalty, lit_d(0.0)))
 
 
-def baseline(df: DataFrame) -> DataFrame:
-    """The threshold-only policy."""
-    x = _inputs(df)
-    s = x["score"]
+def _baseline_columns() -> dict[str, Column]:
+    s, hot = F.col("_score"), F.col("_overtemp")
     ladder = [
-        ((s >= lit_d(0.85)) | x["overtemp"], "PULL_FOR_MAINTENANCE", "baseline_critical_risk_or_overtemp"),
+        ((s >= lit_d(0.85)) | hot, "PULL_FOR_MAINTENANCE", "baseline_critical_risk_or_overtemp"),
         (s >= lit_d(0.75), "REBOOT", "baseline_high_risk"),
         (s >= lit_d(0.60), "DOWNCLOCK", "baseline_medium_high_risk"),
         (s >= lit_d(0.35), "WATCHLIST", "baseline_watchlist"),
@@ -169,49 +171,59 @@ def baseline(df: DataFrame) -> DataFrame:
     action, reason = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
     for test, a, r in ladder:
         action, reason = action.when(test, F.lit(a)), reason.when(test, F.lit(r))
-    action = action.otherwise(F.lit("CONTINUE"))
-    return df.withColumns({
-        "baseline_action": action, "baseline_reason": reason.otherwise(F.lit("baseline_default")),
-        "baseline_automation": action.isin("DOWNCLOCK", "REBOOT"),
+    return {"baseline_action": action.otherwise(F.lit("CONTINUE")), "baseline_reason": reason.otherwise(F.lit("baseline_default"))}
+
+
+def baseline(df: DataFrame) -> DataFrame:
+    """The threshold-only policy."""
+    out = _clean_inputs(df).withColumns(_baseline_columns()).drop(*INPUTS)
+    return out.withColumn("baseline_automation", F.col("baseline_action").isin("DOWNCLOCK", "REBOOT"))
+
+
+def _priced(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """Everything about a row that does not depend on the action."""
+    out = _clean_inputs(energy_price(df if "cfg" in df.columns else with_config(df), as_of))
+    cfg, t = F.col("cfg"), F.col("_temp")
+    warm = F.when(t >= lit_d(95.0), F.least(F.col("_score") + lit_d(0.08), lit_d(1.0))).otherwise(F.col("_score"))
+    out = out.withColumns({
+        "_risk": warm,
+        "_all_in": F.col("energy_price") * lit_d(1000.0) + cfg["opex_usd_per_mwh"] + cfg["capex_usd_per_mwh"],
+        "_failure_usd": cfg["failure_cost_usd"] * F.least(
+            lit_d(1.0), cfg["horizon_hours"] / cfg["risk_probability_horizon_hours"]),
     })
+    hotter = F.when(t >= lit_d(100.0), F.least(F.col("_risk") + lit_d(0.10), lit_d(1.0))).otherwise(F.col("_risk"))
+    return out.withColumn("_risk", hotter)
 
 
-def utility_parts(df: DataFrame, action: tuple) -> dict[str, Column]:
-    """Money terms of one action over the horizon; needs ``cfg`` and ``energy_price``."""
+def utility_parts(action: tuple) -> dict[str, Column]:
+    """Money terms of one action over the horizon, on rows from ``_priced``."""
     _, power_x, rate_x, risk_x, cost, downtime = action
-    cfg, x = F.col("cfg"), _inputs(df)
-    risk = x["score"]
-    risk = F.when(x["temp"] >= lit_d(95.0), clamp(risk + lit_d(0.08), 0.0, 1.0)).otherwise(risk)
-    risk = F.when(x["temp"] >= lit_d(100.0), clamp(risk + lit_d(0.10), 0.0, 1.0)).otherwise(risk)
+    cfg = F.col("cfg")
     hours = F.greatest(cfg["horizon_hours"] - lit_d(downtime), lit_d(0.0))
-    rate, power = x["rate"] * lit_d(rate_x), x["power"] * lit_d(power_x)
+    rate, power = F.col("_rate") * lit_d(rate_x), F.col("_power") * lit_d(power_x)
     energy = power * hours / lit_d(1_000_000.0)
-    price_mwh = F.col("energy_price") * lit_d(1000.0)
-    all_in = price_mwh + cfg["opex_usd_per_mwh"] + cfg["capex_usd_per_mwh"]
     hashprice = cfg["hashprice_usd_per_ph_day"]
     eff = F.when(rate > 0, power / rate)
     per_mwh = F.when((eff > 0) & (hashprice > 0), hashprice * lit_d(1000.0) / (lit_d(24.0) * eff))
     revenue = F.coalesce(per_mwh * energy, rate * cfg["reward_per_th_hour_usd"] * hours)
-    scale = F.least(lit_d(1.0), cfg["horizon_hours"] / cfg["risk_probability_horizon_hours"])
-    failure = risk * lit_d(risk_x) * cfg["failure_cost_usd"] * scale
+    failure = F.col("_risk") * lit_d(risk_x) * F.col("_failure_usd")
     return {
-        "utility_usd": revenue - energy * all_in - failure - lit_d(cost),
+        "utility_usd": revenue - energy * F.col("_all_in") - failure - lit_d(cost),
         "expected_revenue_usd": revenue,
-        "expected_energy_cost_usd": energy * price_mwh,
-        "expected_all_in_cost_usd": energy * all_in,
+        "expected_energy_cost_usd": energy * (F.col("energy_price") * lit_d(1000.0)),
+        "expected_all_in_cost_usd": energy * F.col("_all_in"),
         "expected_failure_cost_usd": failure,
         "intervention_cost_usd": lit_d(cost),
         "expected_energy_mwh": energy,
         "revenue_usd_per_mwh": per_mwh,
-        "all_in_cost_usd_per_mwh": all_in,
+        "all_in_cost_usd_per_mwh": F.col("_all_in"),
         "implied_efficiency_w_per_th": eff,
     }
 
 
-def allowed(df: DataFrame, action: str) -> Column:
-    """Safety rules; the first one that applies decides."""
-    x = _inputs(df)
-    s, t, hot = x["score"], x["temp"], x["overtemp"]
+def allowed(action: str) -> Column:
+    """Safety rules on cleaned inputs; the first one that applies decides."""
+    s, t, hot = F.col("_score"), F.col("_temp"), F.col("_overtemp")
     passive = action in ("CONTINUE", "WATCHLIST")
     rule = F.when((s >= lit_d(0.97)) | (t >= lit_d(102.0)), F.lit(action == "PULL_FOR_MAINTENANCE"))
     if passive or action == "DOWNCLOCK":
@@ -227,75 +239,90 @@ def allowed(df: DataFrame, action: str) -> Column:
     return rule.otherwise(F.lit(True))
 
 
-def _options(df: DataFrame) -> Column:
-    """All actions of a row as an array of structs; no join and no shuffle."""
-    return F.array(*[
+def action_table(df: DataFrame, keys: list[str], as_of: datetime | None = None) -> DataFrame:
+    """Every action of every row with its utility terms and whether it is allowed."""
+    options = F.array(*[
         F.struct(
-            F.lit(a[0]).alias("action"), F.lit(-i).alias("pref"), allowed(df, a[0]).alias("is_allowed"),
-            *[v.alias(k) for k, v in utility_parts(df, a).items()],
+            F.lit(a[0]).alias("action"), allowed(a[0]).alias("is_allowed"),
+            *[v.alias(k) for k, v in utility_parts(a).items()],
         )
-        for i, a in enumerate(S.ACTIONS)
+        for a in S.ACTIONS
     ])
+    return _priced(df, as_of).select(*keys, "energy_price", "in_curtailment_window", F.inline(options))
 
 
-def action_table(df: DataFrame, keys: list[str], as_of: datetime | None = None) -> DataFrame:
-    """Every action of every row with its utility terms and whether it is allowed."""
-    priced = energy_price(df if "cfg" in df.columns else with_config(df), as_of)
-    return priced.select(*keys, "energy_price", "in_curtailment_window", F.inline(_options(priced))).drop("pref")
+def _utilities(priced: DataFrame) -> DataFrame:
+    """One utility column and one permission column per action."""
+    return priced.withColumns({
+        **{f"_u{i}": utility_parts(a)["utility_usd"] for i, a in enumerate(S.ACTIONS)},
+        **{f"_ok{i}": allowed(a[0]) for i, a in enumerate(S.ACTIONS)},
+    })
 
 
-def optimized(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """The allowed action with the highest utility; on ties the milder one."""
-    priced = energy_price(df if "cfg" in df.columns else with_config(df), as_of)
-    open_ = F.filter(_options(priced), lambda o: o["is_allowed"])
-    best = F.array_max(F.transform(open_, lambda o: F.struct(
-        o["utility_usd"].alias("utility"), o["pref"].alias("pref"), o["action"].alias("action"))))
-    out = priced.withColumn("_best", best)
-    action = F.coalesce(F.col("_best.action"), F.lit("CONTINUE"))
+def _pick(df: DataFrame) -> DataFrame:
+    """The allowed action with the highest utility; on ties the earlier, milder one."""
+    n = len(S.ACTIONS)
+    best = df.withColumn("_best", F.greatest(*[F.when(F.col(f"_ok{i}"), F.col(f"_u{i}")) for i in range(n)]))
+    action = F.when(F.lit(False), F.lit(""))
+    for i, a in enumerate(S.ACTIONS):
+        action = action.when(F.col(f"_ok{i}") & (F.col(f"_u{i}") == F.col("_best")), F.lit(a[0]))
+    out = best.withColumn("optimized_action", action.otherwise(F.lit("CONTINUE")))
     return out.withColumns({
-        "optimized_action": action,
-        "optimized_reason": F.concat(F.lit("optimized_max_utility_"), F.lower(action)),
-        "optimized_automation": action.isin("DOWNCLOCK", "REBOOT"),
-        "expected_utility_usd": F.col("_best.utility"),
-    }).drop("_best")
+        "optimized_reason": F.concat(F.lit("optimized_max_utility_"), F.lower("optimized_action")),
+        "optimized_automation": F.col("optimized_action").isin("DOWNCLOCK", "REBOOT"),
+        "expected_utility_usd": F.col("_best"),
+    })
+
+
+_TEMP = [*WORK, "_best", *[f"_{k}{i}" for k in ("u", "ok") for i in range(len(S.ACTIONS))]]
+
+
+def optimized(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """The best allowed action of each row. One projection chain: no join and no shuffle."""
+    return _pick(_utilities(_priced(df, as_of))).drop(*_TEMP)
 
 
 def decisions(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Both policies and the utility of each choice on every row."""
-    out = baseline(optimized(df, as_of))
-    choice = F.when(F.lit(False), lit_d(0.0))
-    best = F.when(F.lit(False), lit_d(0.0))
-    for a in S.ACTIONS:
-        u = utility_parts(df, a)["utility_usd"]
-        choice = choice.when(F.col("baseline_action") == a[0], u)
-        best = best.when(F.col("optimized_action") == a[0], u)
-    return out.withColumns({"baseline_utility_usd": choice, "optimized_utility_usd": best})
+    out = _pick(_utilities(_priced(df, as_of)).withColumns(_baseline_columns()))
+    of_baseline = F.when(F.lit(False), lit_d(0.0))
+    for i, a in enumerate(S.ACTIONS):
+        of_baseline = of_baseline.when(F.col("baseline_action") == a[0], F.col(f"_u{i}"))
+    return out.withColumns({
+        "baseline_automation": F.col("baseline_action").isin("DOWNCLOCK", "REBOOT"),
+        "baseline_utility_usd": of_baseline,
+        "optimized_utility_usd": F.coalesce(F.col("_best"), F.col("_u0")),
+    }).drop(*_TEMP)
 
 
 def backtest(df: DataFrame, as_of: datetime | None = None, config: DataFrame | None = None) -> DataFrame:
     """Utility of both policies over all rows, as one row; no rows count as passed."""
-    rows = df if "cfg" in df.columns else with_config(df, config)
-    d = decisions(rows, as_of)
+    d = decisions(df if "cfg" in df.columns else with_config(df, config), as_of)
     n = F.count(F.lit(1))
-    b, o = F.sum("baseline_utility_usd"), F.sum("optimized_utility_usd")
-    need = F.coalesce(F.max("cfg.min_uplift_usd_per_miner"), lit_d(0.25))
-
-    def rate(flag_: str) -> Column:
-        return F.round(F.coalesce(ratio(F.count(F.when(F.col(flag_), F.lit(1))).cast("double"), n), lit_d(0.0)), 4)
-
-    def mix(action: str, column: str) -> Column:
-        return F.count(F.when(F.col(column) == action, F.lit(1)))
-
-    return d.agg(
-        n.alias("samples"),
-        F.round(F.coalesce(ratio(b, n), lit_d(0.0)), 4).alias("baseline_avg_utility_usd"),
-        F.round(F.coalesce(ratio(o, n), lit_d(0.0)), 4).alias("optimized_avg_utility_usd"),
-        F.round(F.coalesce(ratio(o, n) - ratio(b, n), lit_d(0.0)), 4).alias("avg_uplift_usd_per_miner"),
-        F.round(F.coalesce(o - b, lit_d(0.0)), 4).alias("total_uplift_usd"),
-        *[mix(a[0], "baseline_action").alias(f"baseline_{a[0].lower()}") for a in S.ACTIONS],
-        *[mix(a[0], "optimized_action").alias(f"optimized_{a[0].lower()}") for a in S.ACTIONS],
-        rate("baseline_automation").alias("baseline_automation_rate"),
-        rate("optimized_automation").alias("optimized_automation_rate"),
+    actions = [a[0] for a in S.ACTIONS]
+    sums = d.agg(
+        n.alias("samples"), F.sum("baseline_utility_usd").alias("b"), F.sum("optimized_utility_usd").alias("o"),
+        F.max("cfg.min_uplift_usd_per_miner").alias("need"),
+        *[F.count(F.when(F.col(f"{p}_action") == a, F.lit(1))).alias(f"{p}_{a.lower()}")
+          for p in ("baseline", "optimized") for a in actions],
+        *[F.count(F.when(F.col(f"{p}_automation"), F.lit(1))).alias(f"{p}_auto") for p in ("baseline", "optimized")],
+    )
+    rows = F.col("samples")
+
+    def rounded(x: Column) -> Column:
+        return F.round(F.coalesce(x, lit_d(0.0)), 4)
+
+    uplift = ratio(F.col("o"), rows) - ratio(F.col("b"), rows)
+    need = F.coalesce("need", lit_d(0.25))
+    return sums.select(
+        "samples",
+        rounded(ratio(F.col("b"), rows)).alias("baseline_avg_utility_usd"),
+        rounded(ratio(F.col("o"), rows)).alias("optimized_avg_utility_usd"),
+        rounded(uplift).alias("avg_uplift_usd_per_miner"),
+        rounded(F.col("o") - F.col("b")).alias("total_uplift_usd"),
+        *[f"{p}_{a.lower()}" for p in ("baseline", "optimized") for a in actions],
+        rounded(ratio(F.col("baseline_auto").cast("double"), rows)).alias("baseline_automation_rate"),
+        rounded(ratio(F.col("optimized_auto").cast("double"), rows)).alias("optimized_automation_rate"),
         F.round(need, 4).alias("minimum_required_uplift"),
-        ((n == 0) | (ratio(o, n) - ratio(b, n) >= need)).alias("passed"),
+        ((rows == 0) | (uplift >= need)).alias("passed"),
     )

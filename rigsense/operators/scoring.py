@@ -45,7 +45,7 @@ def risk_heuristic(kpi: DataFrame, threshold: float = 0.55) -> DataFrame:
     return score_rows(newest(kpi), threshold)
 
 
-def risk_snapshot(df: DataFrame) -> DataFrame:
+def risk_snapshot(df: DataFrame, digits: int = 6) -> DataFrame:
     """Weighted risk of a seeded snapshot row."""
     temp = clamp((F.col("asic_temperature_c") - lit_d(70.0)) / lit_d(40.0), 0.0, 1.35)
     instab = clamp(F.col("power_instability_index"), 0.0, 1.0)
@@ -55,7 +55,7 @@ def risk_snapshot(df: DataFrame) -> DataFrame:
         lit_d(0.12) + lit_d(0.35) * temp + lit_d(0.28) * instab + lit_d(0.22) * drop + lit_d(0.10) * volt,
         0.03, 0.99)
     return df.withColumns({
-        "risk_score": F.round(raw, 6),
+        "risk_score": F.round(raw, digits),
         "risk_band": risk_band(raw),
         "predicted_failure": raw >= lit_d(0.55),
     })

@@ -29,8 +29,9 @@ add("risk_heuristic", lambda s, p: sc.risk_heuristic(v.kpi(s, p)).select("miner_
 FROM risk) AS r WHERE rn = 1""", ["risk"], ["risk_score"])
 _snap = (f"0.12e0 + 0.35e0 * ({between('(asic_temperature_c - 70e0) / 40e0', 0, 1.35)}) + 0.28e0 * ({between('power_instability_index', 0, 1)})"
          f" + 0.22e0 * ({between('-hashrate_deviation_pct / 45e0', 0, 1.25)}) + 0.10e0 * ({between('(asic_voltage_v - 12.5e0) / 1.8e0', 0, 1)})")
-add("risk_snapshot", lambda s, p: sc.risk_snapshot(v.kpi(s, p).filter("hashrate_deviation_pct is not null")).select("id", "risk_score", "risk_band", "predicted_failure"),
-    f"SELECT id, CAST(round(CAST(r AS DECIMAL(38, 17)), 6) AS DOUBLE) AS risk_score, {band('r', S.BANDS_OFFLINE)} AS risk_band, r >= 0.55e0 AS predicted_failure FROM (SELECT id, {between(_snap, 0.03, 0.99)} AS r FROM kpi WHERE hashrate_deviation_pct IS NOT NULL) AS x",
+# Nine digits, so that half-way cases at the sixth stay with the comparison's own rounding.
+add("risk_snapshot", lambda s, p: sc.risk_snapshot(v.kpi(s, p).filter("hashrate_deviation_pct is not null"), 9).select("id", "risk_score", "risk_band", "predicted_failure"),
+    f"SELECT id, r AS risk_score, {band('r', S.BANDS_OFFLINE)} AS risk_band, r >= 0.55e0 AS predicted_failure FROM (SELECT id, {between(_snap, 0.03, 0.99)} AS r FROM kpi WHERE hashrate_deviation_pct IS NOT NULL) AS x",
     ["kpi"], ["risk_score"])
 
 
