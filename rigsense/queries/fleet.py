@@ -45,7 +45,7 @@ add("join_cooldown_anti", lambda s, p: fl.without_cooldown(v.predictions(s, p).s
 AND created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 240 HOUR)""", ["predictions", "alerts"])
 
 
-def _doubled(s, p):
+def stored_twice(s, p):
     """Telemetry with some keys stored twice under a larger id."""
     t = v.telemetry(s, p).select("id", "miner_id", "timestamp", "asic_power_w")
     return t.unionByName(t.filter("id % 13 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "asic_power_w": F.lit(1.0)}))
@@ -58,7 +58,7 @@ SELECT id + 1000000000, miner_id, "timestamp", 1e0 FROM telemetry WHERE id % 13
 def _delete_ranked(s, p):
     from rigsense.operators.tables import keep_newest_id
 
-    return keep_newest_id(_doubled(s, p))
+    return keep_newest_id(stored_twice(s, p))
 
 
 add("join_delete_using", _delete_ranked, """SELECT * FROM doubled AS d WHERE NOT EXISTS (SELECT 1 FROM doubled AS n

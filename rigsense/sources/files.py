@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from rigsense.functions.exprs import parse_time, to_int, to_number
 
 
+# Full precision; the default writes milliseconds only.
+CSV_OPTIONS = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def scan_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Header CSV with every column as text, plus ``_file`` and ``_pos`` giving file order.
 
@@ -44,7 +48,7 @@ def write_parquet_csv(df: DataFrame, path: str, csv: bool = True) -> dict[str, s
     if csv:
         written["csv"] = f"{path}/csv"
         back = df.sparkSession.read.schema(df.schema).parquet(written["parquet"])
-        back.write.mode("overwrite").option("header", True).csv(written["csv"])
+        back.write.mode("overwrite").options(**CSV_OPTIONS).csv(written["csv"])
     return written
 
 
@@ -56,6 +60,6 @@ def write_json_report(report: DataFrame, path: str) -> str:
 
 def write_risk_outputs(risk: DataFrame, alerts: DataFrame, path: str) -> dict[str, str]:
     out = {"risk_predictions_csv": f"{path}/risk", "alerts_csv": f"{path}/alerts"}
-    risk.write.mode("overwrite").option("header", True).csv(out["risk_predictions_csv"])
-    alerts.write.mode("overwrite").option("header", True).csv(out["alerts_csv"])
+    risk.write.mode("overwrite").options(**CSV_OPTIONS).csv(out["risk_predictions_csv"])
+    alerts.write.mode("overwrite").options(**CSV_OPTIONS).csv(out["alerts_csv"])
     return out

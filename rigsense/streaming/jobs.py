@@ -182,7 +182,7 @@ def alert_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime, co
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         schema = StructType(spark.createDataFrame([], fields).schema.fields)
-        stored = table_or_empty(spark, path, StructType([*schema.fields]).add("batch", "int"))
+        stored = table_or_empty(spark, path, StructType([*schema.fields]).add("batch", "integer"))
         earlier = stored.filter(F.col("batch") < n)
         new = alert_generate(scoring.risk_heuristic(batch), earlier, as_of, threshold, cooldown_hours, control_mode)
         new.withColumn("resolved", F.lit(False)).write.mode("overwrite").parquet(f"{path}/batch={n}")
