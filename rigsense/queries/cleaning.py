@@ -190,8 +190,8 @@ _rep = {
     ("miners_count", ""): "(SELECT count(DISTINCT miner_id) FROM preprocessed)",
     ("label_positive_rate", ""): "(SELECT avg(failure_within_horizon) FROM preprocessed)",
     ("duplicates_removed", ""): f"(SELECT count(*) FROM raw WHERE miner_id IS NOT NULL AND {OK_TIME} IS NOT NULL) - (SELECT count(*) FROM core)",
-    ("start_timestamp", ""): '(SELECT epoch_us(min("timestamp")) FROM preprocessed)',
-    ("end_timestamp", ""): '(SELECT epoch_us(max("timestamp")) FROM preprocessed)',
+    ("start_timestamp", ""): '(SELECT epoch_us(min("timestamp")) / 1e6 FROM preprocessed)',
+    ("end_timestamp", ""): '(SELECT epoch_us(max("timestamp")) / 1e6 FROM preprocessed)',
     **{("missing_values_before_imputation", c): f"(SELECT count(*) - count({c}) FROM core)" for c in RANGED},
     **{("missing_values_after_preprocessing", c): f"(SELECT count(*) - count({c}) FROM preprocessed)" for c in RANGED},
     **{("clipped_values", c): f"(SELECT count(*) FROM imputed WHERE {c} < {d(S.PLAUSIBLE_RANGES[c][0])} OR {c} > {d(S.PLAUSIBLE_RANGES[c][1])})" for c in RANGED},

@@ -20,6 +20,10 @@ from rigsense.operators.scoring import risk_band, score_rows
 
 AS_OF = datetime(2024, 1, 31)  # just after the last event
 
+# ``props`` is always {"k": n}. Filters on columns computed from k are pushed below it, which
+# repeats the extraction, so it has to be cheaper than parsing JSON.
+K = """TRY_CAST(translate(props, '{"k: }', '') AS INT)"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +33,7 @@ def telemetry_from(events: DataFrame) -> DataFrame:
     """Telemetry columns computed from an events frame, batch or streaming."""
     e = events.selectExpr(
         "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value",
-        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        f"{K} AS k",
     )
     temp = "CAST(55 AS DOUBLE) + CAST(2*k AS DOUBLE) / 5 + least(value, CAST(100 AS DOUBLE)) / 5"
     return e.selectExpr(
@@ -128,7 +132,7 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").selectExpr(
-        "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+        "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", f"{K} AS k")
     score = F.col("k").cast("double") / F.lit(100.0)
     return e.filter("event_id % 3 = 0").select(
         F.col("event_id").alias("id"), F.col("ts").alias("predicted_at"),
@@ -142,7 +146,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").selectExpr(
         "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type",
-        "CAST(get_json_object(props, '$.k') AS INT) AS k").filter("event_type IN ('error', 'signup')")
+        f"{K} AS k").filter("event_type IN ('error', 'signup')")
     return e.selectExpr(
         "event_id AS id", "ts AS created_at", "concat('m-', CAST(user_id AS STRING)) AS miner_id",
         "CASE WHEN k >= 75 THEN 'critical' ELSE 'warning' END AS severity",
