@@ -60,11 +60,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame that several later passes read, unless recomputing it is trivial."""
-    return df if fits_one_task(df) else materialize(df, name)
-
-
 def attach_row(df: DataFrame, row: DataFrame) -> tuple[DataFrame, Column]:
     """Make a one-row DataFrame available on every row of ``df``.
 
@@ -174,11 +169,12 @@ def exact_quantiles(
 
 
 # --------------------------------------------------------------------------- device windows
-def hot_keys(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
     """Keys with more than ``rows`` rows; runs one counting job over the key column.
 
     The cut rises with the table, so at most MAX_HOT_KEYS keys can pass it.
     """
+    rows = rows or BLOCK_ROWS
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("t"))
     cut = F.greatest(F.lit(rows), F.ceil(total.scalar() / F.lit(MAX_HOT_KEYS)))
@@ -190,7 +186,7 @@ def _in_keys(key: str, keys: list) -> Column:
 
 
 def _device_blocks(
-    df: DataFrame, key: str, time: str, rows: int, back: int, ahead: int, bucket_seconds: int
+    df: DataFrame, key: str, time: str, rows: int | None, back: int, ahead: int, bucket_seconds: int
 ) -> DataFrame:
     """Tag rows with ``_home``, the block they belong to, and copy them into ``_blk``, every
     block that needs them as context.
@@ -199,6 +195,7 @@ def _device_blocks(
     positions [s, e) of its device is needed by all blocks that start before e + back and
     by those that can end after s - ahead, so bounded row frames stay exact.
     """
+    rows = rows or BLOCK_ROWS
     bucket = F.floor(F.unix_seconds(F.col(time)) / F.lit(bucket_seconds)).cast("long")
     tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -231,7 +228,7 @@ def over_device_rows(
     key: str = "miner_id",
     time: str = "timestamp",
     tiebreak: Sequence[str] = ("id",),
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
     split: bool | None = None,
     bucket_seconds: int = 300,
 ) -> DataFrame:
@@ -263,7 +260,7 @@ def fill_gaps(
     key: str = "miner_id",
     time: str = "timestamp",
     tiebreak: Sequence[str] = ("id",),
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
     split: bool | None = None,
     bucket_seconds: int = 300,
 ) -> DataFrame:
@@ -356,9 +353,8 @@ def running_totals(
         w = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({new: F.sum(old).over(w) for new, old in sums.items()})
 
-    cuts = df.agg(
-        F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")
-    )
+    shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+    cuts = df.agg(F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * parts})").alias("cuts"))
     with_cuts, row = attach_row(df, cuts)
     ranged = with_cuts.withColumn(
         "_part", F.size(F.filter(row["cuts"], lambda c: c < F.col(order)))

@@ -64,6 +64,15 @@ def compare(spark, con, fn, sql, sf_dir):
     return None, len(got)
 
 
+def force_scale_routes(rows: int = 25) -> None:
+    """Make every operator take the routes meant for large and skewed input."""
+    from rigsense.operators import features, scale
+
+    scale.fits_one_task = features.fits_one_task = lambda df: False
+    scale.BLOCK_ROWS = rows
+    scale.QUANTILE_ACCURACY = 100
+
+
 def main(sf_dir: str, names: list[str]) -> int:
     from rigsense.queries import load
     from rigsense.session import local_session
@@ -72,6 +81,9 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark = local_session("compare", cores=8)
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
+    if "--scale" in names:
+        names.remove("--scale")
+        force_scale_routes()
     chosen = [n for n in queries if not names or any(n == x or (x.endswith("*") and n.startswith(x[:-1])) for x in names)]
     for n in chosen:
         t = time.time()
