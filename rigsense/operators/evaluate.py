@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rigsense import schema as S
 from rigsense.functions.exprs import count_where, lit_d, ratio
-from rigsense.operators.scale import attach_row, running_totals
+from rigsense.operators.scale import attach_row, fits_one_task, materialize, running_totals
 
 # fixed values: thresholds of the sweep
 SWEEP = [round(0.20 + 0.05 * i, 2) for i in range(15)]
@@ -30,8 +30,14 @@ def score_counts(df: DataFrame, score: str = "risk_score", label: str = S.TARGET
 
 
 def curve(df: DataFrame, **kw) -> DataFrame:
-    """Per distinct score, descending: cumulative tp/fp and the class totals."""
+    """Per distinct score, descending: cumulative tp/fp and the class totals.
+
+    On large input the per-score counts are written once, so that totals, areas and thresholds
+    do not scan the rows again.
+    """
     counts = score_counts(df, **kw)
+    if not fits_one_task(df):
+        counts = materialize(counts, "scores")
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     out = running_totals(counts, "threshold", {"tp": "pos", "fp": "neg"}, descending=True)
     out, t = attach_row(out, totals)

@@ -67,7 +67,7 @@ def without_cooldown(df: DataFrame, alerts: DataFrame, as_of: datetime, hours: f
     recent = alerts.filter(
         ~F.col("resolved") & (F.col("created_at") >= F.lit(as_of - timedelta(hours=hours)))
     )
-    return df.join(recent.select("miner_id"), "miner_id", "left_anti")
+    return df.join(recent.select("miner_id").distinct(), "miner_id", "left_anti")
 
 
 def seeded_devices(predictions: DataFrame, rollup: DataFrame) -> DataFrame:

@@ -139,12 +139,11 @@ def upload_guard(df: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES, max_rows: i
 def write_by_date(df: DataFrame, path: str, time: str = "timestamp", mode: str = "append") -> None:
     """Append or overwrite a table partitioned by event date.
 
-    Rows are spread by date and a salt from the row hash, so one heavy day is written by
-    several tasks instead of one.
+    Rebalancing by date gives few files per day, and adaptive execution cuts a heavy day into
+    as many tasks as its size asks for.
     """
     dated = df.withColumn("event_date", F.to_date(time))
-    salted = dated.withColumn("_salt", F.pmod(F.xxhash64(*df.columns[:4]), F.lit(8)))
-    writer = salted.repartition("event_date", "_salt").drop("_salt").write.mode(mode).partitionBy("event_date")
+    writer = dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date")
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
