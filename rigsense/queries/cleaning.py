@@ -37,7 +37,9 @@ def bad_range(c: str) -> str:
 DUPES = "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM raw GROUP BY miner_id, \"timestamp\") AS g"
 
 # --- profile
-add("dq_schema_check", lambda s, p: q.schema_check(v.raw_text(s, p)))
+add("dq_schema_check", lambda s, p: q.schema_check(v.raw_text(s, p).drop("cooling_power_w")),
+    """SELECT CASE WHEN column_name = 'cooling_power_w' THEN 'missing' ELSE 'extra' END AS issue, column_name AS "column" FROM (
+DESCRIBE SELECT * FROM raw) AS d WHERE column_name = 'cooling_power_w' OR column_name NOT IN (""" + ", ".join(f"'{c}'" for c in S.REQUIRED_COLUMNS) + ")", ["raw"])
 add("dq_missing_by_column", lambda s, p: q.missing_by_column(v.raw_text(s, p)),
     melt("column", "missing", {c: f'count(CASE WHEN "{c}" IS NULL THEN 1 END)' for c in RAW_COLUMNS}), ["raw"])
 add("dq_parse_nulls", lambda s, p: q.parse_nulls(v.raw_text(s, p)),
@@ -55,11 +57,11 @@ _report = {
     **{("range_violations", c): bad_range(c) for c in RANGED},
     **{("extra_columns", c): "CAST(max(1) AS BIGINT)" for c in RAW_COLUMNS if c not in S.REQUIRED_COLUMNS},
 }
-add("dq_report", lambda s, p: q.quality_report(v.raw_text(s, p)),
+REPORT_SQL = (
     "SELECT * FROM (WITH w AS (SELECT " + ", ".join(f'{e} AS "{a}:{b}"' for (a, b), e in _report.items()) + " FROM raw) "
     + " UNION ALL ".join(f"SELECT '{a}' AS section, '{b}' AS item, \"{a}:{b}\" AS value FROM w" for a, b in _report)
-    + f" UNION ALL SELECT 'duplicates_by_timestamp_miner', 'duplicates_by_timestamp_miner', duplicates FROM ({DUPES}) AS dup) AS report",
-    ["raw"])
+    + f" UNION ALL SELECT 'duplicates_by_timestamp_miner', 'duplicates_by_timestamp_miner', duplicates FROM ({DUPES}) AS dup) AS report")
+add("dq_report", lambda s, p: q.quality_report(v.raw_text(s, p)), REPORT_SQL, ["raw"])
 add("dataset_summary", lambda s, p: q.dataset_summary(v.kpi(s, p)),
     """SELECT count(*) AS row_count, count(DISTINCT miner_id) AS miners, min("timestamp") AS start_timestamp,
 max("timestamp") AS end_timestamp, avg(failure_within_horizon) AS positive_label_rate FROM kpi""", ["kpi"], ["positive_label_rate"])

@@ -13,6 +13,7 @@ from rigsense.operators import scoring as sc
 from rigsense.operators import settings as st
 from rigsense.operators import tables as t
 from rigsense.operators.scale import work_dir
+from rigsense.queries.cleaning import REPORT_SQL
 from rigsense.queries.fleet import stored_twice
 from rigsense.queries.registry import add, cte, num, txt
 from rigsense.sources import files, payloads
@@ -51,7 +52,8 @@ _PAIR_SQL = 'SELECT id, "timestamp", miner_id, asic_power_w, true_efficiency_te{
 add("scan_parquet_csv_pair", _pair, _PAIR_SQL.format(""), ["kpi"], ["asic_power_w", "true_efficiency_te"])
 add("sink_parquet_csv", _both, _PAIR_SQL.format(", 'parquet' AS kind") + " UNION ALL " + _PAIR_SQL.format(", 'csv'"), ["kpi"], ["asic_power_w", "true_efficiency_te"])
 add("sink_json_report", lambda s, p: s.read.schema("section string, item string, value bigint").json(
-        files.write_json_report(q.quality_report(v.raw_text(s, p)), work_dir(s, "report"))).groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total")))
+        files.write_json_report(q.quality_report(v.raw_text(s, p)), work_dir(s, "report"))).groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("total")),
+    f"SELECT section, count(*) AS items, CAST(sum(value) AS BIGINT) AS total FROM ({REPORT_SQL}) AS report GROUP BY 1", ["raw"])
 
 
 def _risk_csv(s, p):
@@ -61,7 +63,8 @@ def _risk_csv(s, p):
         s.read.option("header", True).csv(out["alerts_csv"]).agg(F.count(F.lit(1)).alias("n")).withColumn("risk_band", F.lit("(alerts)")))
 
 
-add("sink_risk_alert_csv", _risk_csv)
+add("sink_risk_alert_csv", _risk_csv, """SELECT risk_band, count(*) AS n FROM outputs GROUP BY 1 UNION ALL
+SELECT '(alerts)', least(count(*), 250) FROM outputs WHERE predicted_failure_risk = 1 OR alert_signal_count >= 2""", ["outputs"])
 
 
 def _by_date(s, p):
