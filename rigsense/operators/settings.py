@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rigsense import schema as S
 from rigsense.functions.exprs import lit_d, to_number
-from rigsense.operators.policy import POLICY_SETTINGS, truthy
+from rigsense.operators.policy import POLICY_SETTINGS
 
 KINDS = {
     **{k: "boolean" for k in S.BOOLEAN_SETTINGS}, **{k: "integer" for k in S.INTEGER_SETTINGS},
@@ -154,4 +154,3 @@ def seed_defaults(settings: DataFrame, by: Sequence[str] = (), defaults: dict[st
     return kept.unionByName(missing)
 
 
-__all__ = ["validate_settings", "typed_runtime_config", "mask_secrets", "seed_defaults", "rules", "truthy"]
