@@ -155,20 +155,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of codes[start:end] for every span, from one running sum over all codes.
+class SpanHashes:
+    """64-bit hashes of codes[start:end] for any spans, from one running sum over all codes.
 
     The sum of code * m**position up to the end less the one up to the start, times m**-start,
     depends on the span's content only, since m is odd and so invertible modulo 2**64.
     """
-    up, down = _power_table(codes.size)
-    total = np.zeros(codes.size + 1, np.uint64)
-    np.cumsum(codes * up[:codes.size], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+    def __init__(self, codes: np.ndarray):
+        up, self._down = _power_table(codes.size)
+        self._total = np.zeros(codes.size + 1, np.uint64)
+        np.cumsum(codes * up[:codes.size], out=self._total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._total[ends] - self._total[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return SpanHashes(codes).of(starts, ends)
+
+
+def byte_hashes(data: np.ndarray) -> SpanHashes:
+    return SpanHashes(_BYTE_CODES[data])
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_BYTE_CODES[data], starts, ends)
+    return byte_hashes(data).of(starts, ends)
 
 
 def first_of_runs(keys: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 A text is a bag of passages: lines, cut after ``PASSAGE_WORDS`` words. A passage is encoded as the tanh
 of the mean embedding of its words, where a word has two embeddings, one by a hash of its bytes and one
-by the kinds of characters in it. Gated attention, w . (tanh(V e) * sigmoid(U e)), weighs the passages,
+by the kinds of characters in it and whether it repeats the word before. Gated attention, w . (tanh(V e) * sigmoid(U e)), weighs the passages,
 and the weighted sum is scored by a logistic unit. All weights are learned together from document labels
 by gradient descent in numpy, on a bounded sample of labelled rows.
 
@@ -55,12 +55,16 @@ def _bags(texts: pa.Array) -> tuple[Bags, np.ndarray]:
     bags = Bags(texts, ~WHITE, _BREAK, PASSAGE_WORDS)
     if bags.starts.size == 0:
         return bags, np.empty((0, 2), np.int64)
-    word = word_hashes(bags.data, bags.starts, bags.ends) >> np.uint64(64 - 13)
+    whole = word_hashes(bags.data, bags.starts, bags.ends)
+    word = whole >> np.uint64(64 - 13)
+    again = np.zeros(whole.size, bool)
+    again[1:] = (whole[1:] == whole[:-1]) & (bags.owner[1:] == bags.owner[:-1])
     ends = np.empty(2 * bags.starts.size, np.int64)
     ends[::2], ends[1::2] = bags.starts, bags.ends
     if ends[-1] == bags.data.size:
         ends = ends[:-1]
     kind = np.bitwise_or.reduceat(_KIND[bags.data], ends)[::2].astype(np.int64)
+    kind += again * (2 << len(_CHARS))
     return bags, np.stack([word.astype(np.int64), WORD_SLOTS + (kind * 2654435761 % (1 << 32) >> 22)], axis=1)
 
 

@@ -21,63 +21,60 @@ from pyspark.sql import functions as F
 from rigsense.llm.base import new_name
 
 BUCKETS = 1 << 14
-MIN_RATIO = -0.5  # nats per word or pair: about 0.6 times as likely among trusted texts as in the corpus
+MIN_RATIO = -0.1  # nats per word or pair: about 0.9 times as likely among trusted texts as in the corpus
 SMOOTHING = 1.0  # added to each bucket's count
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _WHITE = "[\\x20\\x09-\\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _WHITE), lambda w: w != "")
+def with_words(documents: DataFrame, text: str, words: str, hashes: str, pairs: str) -> DataFrame:
+    """``documents`` with the words of each text, their hashes, and the hashes of pairs of neighbours.
 
+    Each is a column of its own, so that it is computed once however often it is used.
+    """
+    split = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _WHITE), "")
+    rows = documents.withColumn(words, split).withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    return rows.withColumn(pairs, F.zip_with(_skip(hashes, 0, 1), _skip(hashes, 1, 1), lambda a, b: F.xxhash64(a, b)))
+
+
+def _skip(array: str, first: int, fewer: int) -> Column:
+    """Elements from ``first`` on, ``fewer`` less than all."""
+    return F.slice(array, first + 1, F.greatest(F.size(array) - fewer, F.lit(0)))
 
-def _buckets(words: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbouring words."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"),
-    )
-    return F.concat(single, pairs)
 
+def _bucket(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(BUCKETS)).cast("int")
 
-def _windows(words: Column) -> Column:
-    """All windows of three words."""
-    n = F.size(words)
-    return F.when(n >= 3, F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-    )).otherwise(F.array().cast("array<string>"))
 
+def measure(documents: DataFrame, text: str = "text", extra=None) -> DataFrame:
+    """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-def measure(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    ``extra`` maps the names of further columns to functions of the hashes of words and of pairs.
+    """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    words, grams, lines, order, places = (new_name(c) for c in ("words", "grams", "lines", "order", "places"))
+    words, hashes, pairs, grams, lines, order = (new_name(c) for c in ("words", "hashes", "pairs", "grams", "lines", "order"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.drop(*[c for c in names if c in documents.columns])
-    rows = rows.withColumn(words, words_of(F.col(text)))
+    rows = with_words(documents.drop(*[c for c in names if c in documents.columns]), text, words, hashes, pairs)
     rows = rows.withColumns({
-        grams: _windows(F.col(words)),
+        grams: F.zip_with(_skip(pairs, 0, 1), _skip(hashes, 2, 2), lambda a, b: F.xxhash64(a, b)),
         lines: F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
     })
-    # The sort that finds repeated windows is only for texts that have some.
-    repeated = F.size(F.array_distinct(grams)) < F.size(grams)
-    ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    rows = rows.withColumn(order, F.when(repeated, ordered))
+    # Windows of three words are known by 64-bit hashes, and sorted only where some are equal.
+    windows = F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+    rows = rows.withColumn(order, F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(windows)))
     at = lambda i: F.get(F.col(order), i)["g"]
-    twice = F.filter(F.col(order), lambda x, i: (x["g"] == at(i + 1)) | (x["g"] == at(i - 1)))
-    rows = rows.withColumn(places, F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    twice = F.filter(order, lambda x, i: (x["g"] == at(i + 1)) | (x["g"] == at(i - 1)))
+    places = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     rows = rows.withColumns({
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(body, _WHITE, "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, _SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(_SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long"),
-    })
+        "n_repeat_words": F.coalesce(F.size(places), F.lit(0)).cast("long"),
+    } | {name: fn(F.col(hashes), F.col(pairs)) for name, fn in (extra or {}).items()})
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return rows.withColumn("base_failed", failed).drop(grams, lines, order, places, words)
+    return rows.withColumn("base_failed", failed).drop(words, hashes, pairs, grams, lines, order)
 
 
 def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> list[float]:
@@ -88,8 +85,9 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key
     """
     marks = trusted.select(F.col(key)).distinct().withColumn("trusted", F.lit(1))
     rows = documents.select(F.col(key), F.col(text)).join(marks, key, "left")
-    grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(_buckets(words_of(F.col(text)))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")).collect()
+    rows = with_words(rows, text, "_words", "_hashes", "_pairs")
+    grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
+    counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")).collect()
     raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     weights = [0.0] * BUCKETS
     if good:
@@ -102,9 +100,8 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key
 def judge(documents: DataFrame, weights: list[float], text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``documents`` with the base measures, log_ratio and kept."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one constant
-    rows = measure(documents, text)
-    buckets = _buckets(words_of(F.col(text)))
-    total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
-    ratio = F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0)
-    rows = rows.withColumn("log_ratio", ratio)
+    add = lambda s, gram: s + F.get(table, _bucket(gram))
+    total = {"log_ratio": lambda hashes, pairs: F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), add), add)}
+    rows = measure(documents.drop("log_ratio"), text, total)
+    rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, F.col("log_ratio") / (2 * F.col("n_words") - 1)).otherwise(0.0))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))

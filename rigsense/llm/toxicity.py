@@ -1,18 +1,20 @@
 """Toxicity by multiple-instance learning with noisy-or.
 
 A text is a bag of sentences. A sentence is toxic with probability sigmoid(bias + sum of the weights of
-its different words); a document is toxic unless no sentence is: 1 - prod(1 - p). Weights are learned
-from document labels by gradient descent in numpy, on a bounded sample. Words are known by a 64-bit
-hash, and only words in at least ``MIN_TEXTS`` sampled texts have a weight, so that unknown words count
-nothing. Weights that stay small are set to zero by a penalty on their size.
-
-Defined results: a null text or one without words has no sentence and score 0. Without labelled rows
-every score is 0. Equal texts get equal scores. An empty table gives an empty result; columns named like
-an output are replaced.
+its different features); a document is toxic unless no sentence is: 1 - prod(1 - p). Features are words
+and beginnings of words, known by 64-bit hashes; one that the fit has not kept counts nothing. Weights
+are learned from document labels by gradient descent in numpy, on a bounded sample: first, features
+are kept that occur in at least ``MIN_TEXTS`` toxic texts and make a text much likelier to be toxic,
+then their weights are fitted, with a penalty on their size.
+
+Defined results: a null text or one without words has no sentence and score 0. Without toxic labelled
+rows every score is 0. Equal texts get equal scores. An empty table gives an empty result; columns named
+like an output are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,16 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from rigsense.llm.base import list_of, map_texts, word_hashes
+from rigsense.llm.base import byte_hashes, list_of, map_texts
 from rigsense.llm.decontamination import IS_WORD, LOWER
 from rigsense.llm.mil import Bags, labelled_sample
 
 SENTENCE_WORDS = 64  # a longer sentence is cut
-MIN_TEXTS = 5
+SAMPLE_ROWS = 8000  # labelled documents that a fit reads
+BEGINNINGS = range(4, 11)  # bytes
+MIN_TEXTS = 4  # toxic texts that a feature must occur in
+LIFT = 4.0  # how much likelier a feature must make the toxic label
 THRESHOLD = 0.3
 LOCATED = 0.3  # probability from which a sentence is reported
+SLOTS = 1 << 22  # of the table that first counts features
+_STEP = 400  # texts that a fit takes apart at once
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 33, 46, 63]] = True  # line feed ! . ?
+_LETTER = IS_WORD[LOWER]
 
 
 @dataclass
@@ -37,20 +45,43 @@ class Lexicon:
     hashes: np.ndarray  # in ascending order
     weights: np.ndarray
     bias: float
+    sieve: np.ndarray | None = None  # which values of the hashes' upper 20 bits occur
+
+    def __post_init__(self):
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+
+def _bags(texts: pa.Array) -> Bags:
+    bags = Bags(texts, _LETTER, _BREAK, SENTENCE_WORDS)
+    bags.data = LOWER[bags.data]
+    return bags
+
+
+def _features(bags: Bags) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and their feature hashes, one kind of feature after the other: whole words, then beginnings."""
+    hashes = byte_hashes(bags.data)
+    every = np.arange(bags.starts.size)
+    yield every, hashes.of(bags.starts, bags.ends)
+    for n in BEGINNINGS:
+        long = every[bags.ends - bags.starts >= n]
+        yield long, ~hashes.of(bags.starts[long], bags.starts[long] + n)
 
 
 class _Sentences:
-    """Sentences of a batch, and the known words in each, counted once."""
-
-    def __init__(self, texts: pa.Array, hashes: np.ndarray):
-        self.bags = bags = Bags(texts, IS_WORD, _BREAK, SENTENCE_WORDS)
-        bags.data = LOWER[bags.data]
-        found = word_hashes(bags.data, bags.starts, bags.ends)
-        place = np.minimum(np.searchsorted(hashes, found), max(0, hashes.size - 1))
-        known = np.flatnonzero(hashes[place] == found) if hashes.size else np.empty(0, np.int64)
-        part = np.repeat(np.arange(bags.part_first.size), bags.words_in)[known]
-        pair = np.unique(part * max(1, hashes.size) + place[known])
-        self.part, self.word = np.divmod(pair, max(1, hashes.size))
+    """Sentences of a batch, and the features in each that the lexicon knows, counted once."""
+
+    def __init__(self, texts: pa.Array, model: Lexicon):
+        self.bags = bags = _bags(texts)
+        part = np.repeat(np.arange(bags.part_first.size), bags.words_in)
+        pairs = [np.empty(0, np.int64)]
+        for word, found in _features(bags) if model.hashes.size else ():
+            maybe = model.sieve[(found >> np.uint64(44)).astype(np.int64)]
+            word, found = word[maybe], found[maybe]
+            place = np.minimum(np.searchsorted(model.hashes, found), model.hashes.size - 1)
+            known = model.hashes[place] == found
+            pairs.append(part[word[known]] * model.hashes.size + place[known])
+        self.part, self.word = np.divmod(np.unique(np.concatenate(pairs)), max(1, model.hashes.size))
 
     def log_clean(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each sentence, and the log of each text's chance that no sentence is toxic."""
@@ -60,40 +91,72 @@ class _Sentences:
         return prob, np.bincount(bags.part_owner, np.log1p(-np.minimum(prob, 1 - 1e-9)), bags.size)
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.15, shrink: float = 2e-4) -> Lexicon:
+def _per_text(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text numbers and hashes of the different features of each text, some texts at a time."""
+    for lo in range(0, len(texts), _STEP):
+        bags = _bags(pa.array(texts[lo:lo + _STEP], pa.string()))
+        for word, found in _features(bags):
+            order = np.lexsort((found, bags.owner[word]))
+            owner, found = bags.owner[word][order], found[order]
+            new = np.ones(found.size, bool)
+            new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+            yield owner[new] + lo, found[new]
+
+
+def _screen(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Hashes of the features worth a weight: a first pass counts them in slots, a second one exactly."""
+    toxic = labels > 0
+
+    def telling(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+        rate = (no + 0.5) / max(1, (~toxic).sum())
+        return (yes >= MIN_TEXTS) & (yes / max(1, toxic.sum()) >= LIFT * rate)
+
+    slot = lambda found: (found >> np.uint64(42)).astype(np.int64)
+    counts = np.zeros((2, SLOTS), np.int32)
+    for owner, found in _per_text(texts):
+        for k in (0, 1):
+            counts[k] += np.bincount(slot(found[toxic[owner] == k]), minlength=SLOTS).astype(np.int32)
+    busy = counts[1] >= MIN_TEXTS
+    kept = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
+    for owner, found in _per_text(texts):
+        inside = busy[slot(found)]
+        for k in (0, 1):
+            kept[k].append(found[inside & (toxic[owner] == k)])
+    hashes, yes = np.unique(np.concatenate(kept[1]), return_counts=True)
+    many = yes >= MIN_TEXTS
+    hashes, yes = hashes[many], yes[many]
+    others = np.sort(np.concatenate(kept[0]))
+    no = np.searchsorted(others, hashes, "right") - np.searchsorted(others, hashes, "left")
+    return hashes[telling(yes, no)]
+
+
+def fit(texts: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.1, shrink: float = 0.002) -> Lexicon:
     """Train on texts and their 0/1 labels; the same input gives the same lexicon."""
-    bags = Bags(pa.array(texts, pa.string()), IS_WORD, _BREAK, SENTENCE_WORDS)
-    found = word_hashes(LOWER[bags.data], bags.starts, bags.ends)
-    vocabulary, number = np.unique(found, return_inverse=True)
-    pairs = np.unique(number.astype(np.int64) * max(1, bags.size) + bags.owner)
-    common = np.bincount(pairs // max(1, bags.size), minlength=vocabulary.size) >= MIN_TEXTS
-    vocabulary = vocabulary[common]
-    if not vocabulary.size or not labels.any():
-        return Lexicon(np.empty(0, np.uint64), np.empty(0), -40.0)
-    sentences = _Sentences(pa.array(texts, pa.string()), vocabulary)
-    weights, bias = np.zeros(vocabulary.size), -5.0
-    first, second = np.zeros(vocabulary.size + 1), np.zeros(vocabulary.size + 1)
+    none = Lexicon(np.empty(0, np.uint64), np.empty(0), -40.0)
+    hashes = _screen(texts, labels) if len(texts) else none.hashes
+    if not hashes.size:
+        return none
+    sentences = _Sentences(pa.array(texts, pa.string()), Lexicon(hashes, np.zeros(hashes.size), 0))
+    weights, bias = np.zeros(hashes.size), -6.0
+    first, second = np.zeros(hashes.size + 1), np.zeros(hashes.size + 1)
     owner = sentences.bags.part_owner
     for step in range(1, steps + 1):
         prob, log_clean = sentences.log_clean(weights, bias)
-        toxic = -np.expm1(log_clean)
-        # d loss / d log_clean: 1 - label / toxic, so each sentence's logit gets prob times its negative
-        pull = np.where(labels > 0, 1 - 1 / np.maximum(toxic, 1e-6), 1.0)
+        # The slope by a sentence's logit is its probability times this: 1 for a clean text, below 0 for a toxic one.
+        pull = np.where(labels > 0, 1 - 1 / np.maximum(-np.expm1(log_clean), 1e-6), 1.0)
         at = prob * pull[owner] / labels.size
-        slope = np.append(np.bincount(sentences.word, at[sentences.part], vocabulary.size), at.sum())
+        slope = np.append(np.bincount(sentences.word, at[sentences.part], hashes.size), at.sum())
         first += 0.1 * (slope - first)
         second += 0.01 * (slope * slope - second)
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
         bias -= float(move[-1])
-        weights -= move[:-1]
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * shrink * 50, 0)
-    used = weights != 0
-    return Lexicon(vocabulary[used], weights[used], bias)
+        weights = (weights - move[:-1]) * (1 - rate * shrink)
+    return Lexicon(hashes, weights, bias)
 
 
 def scores(model: Lexicon, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
     """Score of each text, and per text the byte spans of sentences with at least LOCATED, as flat start-end lists."""
-    sentences = _Sentences(texts, model.hashes)
+    sentences = _Sentences(texts, model)
     prob, log_clean = sentences.log_clean(model.weights, model.bias)
     bags = sentences.bags
     spans: list[list[int]] = [[] for _ in range(bags.size)]
@@ -106,7 +169,7 @@ def scores(model: Lexicon, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]
 
 def learn(documents: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic", text: str = "text", key: str = "doc_id") -> Lexicon:
     """Fit on the bounded sample of ``mil.labelled_sample``."""
-    return fit(*labelled_sample(documents, labels, label, fold, text, key))
+    return fit(*labelled_sample(documents, labels, label, fold, text, key, SAMPLE_ROWS))
 
 
 def predict(documents: DataFrame, model: Lexicon, text: str = "text") -> DataFrame:
