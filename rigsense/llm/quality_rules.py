@@ -84,7 +84,7 @@ def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key
     the driver gets one row per bucket.
     """
     marks = trusted.select(F.col(key)).distinct().withColumn("trusted", F.lit(1))
-    rows = documents.select(F.col(key), F.col(text)).join(marks, key, "left")
+    rows = documents.select(F.col(key), F.col(text)).join(marks.hint("merge"), key, "left")  # one plan for every size
     rows = with_words(rows, text, "_words", "_hashes", "_pairs")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
     counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")).collect()
