@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from rigsense.operators.scale import work_dir
 
-SLICE_BYTES = 2 << 20  # bytes of text that one numpy pass handles
+SLICE_BYTES = 1 << 20  # bytes of text that one numpy pass handles
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -110,6 +110,7 @@ def map_texts(
             for part in slices(batch, text, limit):
                 old = [part.column(part.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays(old + fn(part), names=kept + new)
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory with the JVM
 
     return df.mapInArrow(run, schema)
 
