@@ -161,7 +161,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(slots[slot, 4])], names=["row", "sequence_id", "offset"])
 
     placed = ranked.select("row", "run_one").mapInArrow(place, "row long, sequence_id long, offset long")
-    return rows.join(placed, "row").drop("row")
+    return rows.join(placed.hint("merge"), "row").drop("row")  # one plan for every size
 
 
 def with_crc(packed: DataFrame) -> DataFrame:
