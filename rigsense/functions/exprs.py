@@ -7,6 +7,7 @@ turn a missing reading into the bound.
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -118,3 +119,8 @@ def r6(c: Column) -> Column:
     the nudge makes engines with different half-way rounding agree.
     """
     return F.round(c.cast("double") + lit_d(1e-9), 6)
+
+
+def known_zone(zone: Column) -> Column:
+    """True for the names in the time zone database of the driver."""
+    return zone.isin(sorted(available_timezones() - {"Factory", "localtime"}))

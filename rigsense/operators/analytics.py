@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import isfinite
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
@@ -44,11 +45,13 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Rows are grouped by which columns are missing. Inside such a group every column is either
     complete or absent, so one sum per column and one per pair of columns are enough, and the
-    groups that have both columns add up to the pair. Sums are taken around the middle of a
-    column's plausible range, which keeps them accurate.
+    groups that have both columns add up to the pair. Sums are taken around each column's mean,
+    which one scan before finds; that keeps them accurate for narrow columns.
     """
     cols = list(columns)
-    x = {c: f"(CAST(`{c}` AS DOUBLE) - {_centre(c)}D)" for c in cols}
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    centre = {c: means[c] if means[c] is not None and isfinite(means[c]) else 0.0 for c in cols}
+    x = {c: f"(CAST(`{c}` AS DOUBLE) - {centre[c]!r}D)" for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     missing = "concat(" + ", ".join(f"if(`{c}` IS NULL, '1', '0')" for c in cols) + ")"
     sums = df.groupBy(F.expr(missing).alias("_missing")).agg(
@@ -66,7 +69,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spread = "if({0}{0} - s{0} * s{0} / n > 1e-12D * {0}{0}, sqrt({0}{0} - s{0} * s{0} / n), NULL)"
     va, vb = (spread.format(c).replace(f"{c}{c}", f"s{c}{c}") for c in "ab")
     r = F.expr(f"(sab - sa * sb / n) / ({va} * {vb})")
-    return total.select("a", "b", r.alias("r"))
+    return total.select("a", "b", F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(S.EDA_COLUMNS)) -> DataFrame:
@@ -232,9 +235,11 @@ def route_source(
 
 
 def tradeoff_points(df: DataFrame, n: int = 2000, tiebreak: Sequence[str] = ("id",)) -> DataFrame:
-    """The latest rows for the scatter charts, at most 5000."""
+    """The latest ``n`` rows for the scatter charts; more than 5000 are refused."""
+    if n > 5000:
+        raise ValueError("at most 5000 points can be asked for")
     ties = [F.col(t) for t in (*tiebreak, "miner_id") if t in df.columns]
-    return df.orderBy(F.col("timestamp").desc(), *ties).limit(min(n, 5000)).select(
+    return df.orderBy(F.col("timestamp").desc(), *ties).limit(n).select(
         "miner_id", "asic_hashrate_ths", "asic_temperature_c", "asic_power_w", "asic_clock_mhz",
         "asic_voltage_v", "true_efficiency_te", "operating_mode",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import lit_d, ratio, to_number
+from rigsense.functions.exprs import lit_d, ratio, to_number, known_zone
 from rigsense.operators.scale import attach_row
 
 # fixed values: policy defaults
@@ -43,13 +43,18 @@ def _hour(text: Column) -> Column:
     return F.trim(text).try_cast("int")
 
 
+def _elements(text: Column, fields: str) -> Column:
+    """The elements of a JSON list, each decoded on its own, so that a bad one loses itself only."""
+    return F.transform(F.from_json(text, "array<string>"), lambda e: F.from_json(e, fields))
+
+
 def price_schedule(text: Column) -> Column:
     """JSON {hour: price} or [{hour, price}] to a map; entries with a bad hour are skipped.
 
     A price that is no number counts as 0 and negative prices are raised to 0.
     """
     as_map = F.from_json(text, "map<string,string>")
-    as_list = F.from_json(text, "array<struct<hour:string,price:string>>")
+    as_list = _elements(text, "hour string, price string")
     pairs = F.when(
         F.trim(text).startswith("["),
         F.transform(as_list, lambda e: F.struct(
@@ -72,7 +77,7 @@ def price_schedule(text: Column) -> Column:
 
 def curtailment_windows(text: Column) -> Column:
     """JSON [{start_hour, end_hour}] to an array; empty and out-of-range windows are dropped."""
-    raw = F.from_json(text, "array<struct<start_hour:string,end_hour:string>>")
+    raw = _elements(text, "start_hour string, end_hour string")
     typed = F.transform(raw, lambda w: F.struct(
         F.coalesce(to_number(w["start_hour"]).cast("int"), F.lit(-1)).alias("start_hour"),
         F.coalesce(to_number(w["end_hour"]).cast("int"), F.lit(-1)).alias("end_hour")))
@@ -144,12 +149,12 @@ def _clean_inputs(df: DataFrame) -> DataFrame:
 
 
 def energy_price(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Price at the row's local hour, times the penalty inside a curtailment window."""
+    """Price at the row's local hour, times the penalty inside a curtailment window; an unknown zone counts as UTC."""
     cfg = F.col("cfg")
     at = _field(df, "timestamp", "timestamp")
     if as_of is not None:
         at = F.coalesce(at, F.lit(as_of))
-    timed = df.withColumn("local_hour", F.hour(F.from_utc_timestamp(at, cfg["timezone"])))
+    timed = df.withColumn("local_hour", F.hour(F.from_utc_timestamp(at, F.when(known_zone(cfg["timezone"]), cfg["timezone"]).otherwise("UTC"))))
     hour = F.col("local_hour")
     inside = F.exists(cfg["curtailment_windows"], lambda w: F.when(
         w["start_hour"] < w["end_hour"], (hour >= w["start_hour"]) & (hour < w["end_hour"])

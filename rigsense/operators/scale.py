@@ -48,8 +48,16 @@ def fits_one_task(df: DataFrame) -> bool:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table: in the shared folder the cluster names, if any."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="rigsense-")
+    """A new folder for a written table, in the shared folder that spark.checkpoint.dir names.
+
+    Only a local master may go without that setting; on a cluster a local folder would be each
+    executor's own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = mkdtemp(prefix="rigsense-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rigsense import schema as S
-from rigsense.functions.exprs import lit_d, to_number
+from rigsense.functions.exprs import lit_d, to_number, known_zone
 from rigsense.operators.policy import POLICY_SETTINGS
 
 KINDS = {
@@ -35,11 +35,6 @@ def _float_text(x: Column) -> Column:
     return x.cast("string")
 
 
-def _known_zone(zone: Column) -> Column:
-    """Region/City names, UTC-like names and fixed offsets that Spark can convert to."""
-    return zone.rlike(r"^(UTC|GMT|Z|[A-Za-z]+(/[A-Za-z0-9_+\-]+)+|[A-Z]{3,4})$")
-
-
 def validate_settings(settings: DataFrame) -> DataFrame:
     """Each setting with its cleaned value, or an error and no value."""
     spark = settings.sparkSession
@@ -72,7 +67,7 @@ def validate_settings(settings: DataFrame) -> DataFrame:
         .when((kind == "object") & ~blank & ~shape.startswith("OBJECT"), quoted("Setting '", "' must be a JSON object"))
         .when((kind == "array") & ~blank & parsed.isNull(), quoted("Invalid JSON array for '"))
         .when((kind == "array") & ~blank & ~shape.startswith("ARRAY"), quoted("Setting '", "' must be a JSON array"))
-        .when((kind == "timezone") & ~blank & ~_known_zone(text), quoted("Invalid timezone for '"))
+        .when((kind == "timezone") & ~blank & ~known_zone(text), quoted("Invalid timezone for '"))
         .when((kind == "text") & (F.length(text) > S.MAX_SETTING_TEXT), quoted("Value for '", "' is too long"))
     )
     clean = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,23 +26,39 @@ def _number(ip: str) -> int:
 
 
 def ipv4_number(host: Column) -> Column:
-    """A dotted IPv4 literal as a number, NULL for anything else."""
-    ok = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    parts = [F.split_part(host, F.lit("."), F.lit(i)).try_cast("int") for i in range(1, 5)]
-    valid = ok & (parts[0] < 256) & (parts[1] < 256) & (parts[2] < 256) & (parts[3] < 256)
-    scale = [1 << 24, 1 << 16, 1 << 8, 1]
-    total = sum((p.cast("long") * F.lit(w) for p, w in zip(parts, scale)), F.lit(0).cast("long"))
-    return F.when(valid, total)
+    """An IPv4 literal as a number, NULL for anything else.
+
+    One to four parts, each decimal, octal (leading 0) or hexadecimal (0x); the last one fills
+    the bytes that are left, so 127.1 and 2130706433 are both 127.0.0.1.
+    """
+    ok = host.rlike(r"^(0x[0-9a-f]{0,12}|[0-9]{1,12})(\.(0x[0-9a-f]{0,12}|[0-9]{1,12})){0,3}\.?$")
+    parts = F.filter(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), lambda p: p != "")
+    value = F.transform(parts, lambda p: F.coalesce(
+        F.when(p.startswith("0x"), F.conv(F.substring(p, 3, 12), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p)
+        .try_cast("long"), F.lit(0).cast("long")))
+    n = F.size(value)
+    head, last = F.slice(value, 1, F.greatest(n - 1, F.lit(0))), F.get(value, n - 1)
+    rest = F.pow(F.lit(256.0), (5 - n).cast("double")).cast("long")
+    total = F.aggregate(head, F.lit(0).cast("long"), lambda s, x: s * 256 + x) * rest + last
+    return F.when(ok & n.between(1, 4) & ~F.exists(head, lambda x: x > 255) & (last < rest), total)
+
+
+def mapped_ipv4(address: Column) -> Column:
+    """The IPv4 literal inside an IPv4-mapped IPv6 address, NULL for anything else."""
+    mapped = r"^(?:(?:0{1,4}:){5}|::(?:0{1,4}:){0,4}|(?:0{1,4}:){1,4}:(?:0{1,4}:){0,3})ffff:"
+    dotted = F.regexp_extract(address, mapped + r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    two = mapped + "([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+    number = F.conv(F.regexp_extract(address, two, 1), 16, 10).try_cast("long") * 65536 + F.conv(F.regexp_extract(address, two, 2), 16, 10).try_cast("long")
+    return F.when(dotted != "", dotted).when(address.rlike(two), number.cast("string"))
 
 
 def not_public_ip(host: Column) -> Column:
     """True for private, loopback, link-local and reserved literals, IPv6 included."""
-    n = ipv4_number(host)
-    hit = F.lit(False)
-    for first, bits in NOT_PUBLIC:
-        start = _number(first)
-        hit = hit | n.between(start, start + (1 << (32 - bits)) - 1)
     v6 = F.regexp_replace(host, r"^\[|\]$", "")
+    n = F.coalesce(ipv4_number(host), ipv4_number(mapped_ipv4(v6)))
+    spans = [(_number(first), _number(first) + (1 << (32 - bits)) - 1) for first, bits in NOT_PUBLIC]
+    # The one-element array gives the number a name, so that its expression is there only once.
+    hit = F.exists(F.array(n), lambda x: reduce(or_, [x.between(lo, hi) for lo, hi in spans]))
     six = v6.contains(":") & v6.rlike(r"^(::1?$|f[cd]|fe[89ab]|ff|2001:db8|64:ff9b:1:|100::)")
     return F.coalesce(hit, F.lit(False)) | F.coalesce(six, F.lit(False))
 
@@ -59,7 +77,8 @@ def source_url_audit(
     server = F.regexp_replace(authority, r"^.*@", "")
     host = F.lower(F.when(server.startswith("["), F.regexp_extract(server, r"^\[([^\]]*)\]", 1)).otherwise(
         F.split_part(server, F.lit(":"), F.lit(1))))
-    host = F.nullif(host, F.lit(""))
+    df = df.withColumn("hostname", F.nullif(host, F.lit("")))
+    host = F.col("hostname")
     given = F.regexp_extract(server, r":(\d+)$", 1).try_cast("int")
     port = F.coalesce(given, F.when(scheme == "https", F.lit(443)).when(scheme == "http", F.lit(80)))
     exact = [a for a in allow if not a.startswith("*.")]
@@ -81,5 +100,5 @@ def source_url_audit(
         F.when(not_public_ip(host), F.lit("Source hostname is a blocked address")),
     ))
     return df.withColumns({
-        "scheme": F.nullif(scheme, F.lit("")), "hostname": host, "port": port, "errors": errors,
+        "scheme": F.nullif(scheme, F.lit("")), "port": port, "errors": errors,
     }).withColumn("valid", F.size("errors") == 0)

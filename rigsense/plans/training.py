@@ -11,6 +11,7 @@ from pyspark.ml.feature import (
     Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def split(features: DataFrame, q: float = 0.80) -> tuple[DataFrame, DataFrame]:
     train = materialize(tagged.filter("is_train").drop("is_train"), "train")
     valid = materialize(tagged.filter("not is_train").drop("is_train"), "valid")
     if train.isEmpty() or valid.isEmpty():
-        raise ValueError("Time split failed: train/validation set is empty.")
+        raise ValueError("no rows on one side of the time split")
     return train, valid
 
 
@@ -129,7 +130,7 @@ def train_and_compare(features: DataFrame, models: dict[str, Callable] | None =
     table = reports[0]
     for r in reports[1:]:
         table = table.unionByName(r)
-    comparison = table.sparkSession.createDataFrame(table.toPandas(), table.schema)  # three rows per model
+    comparison = table.sparkSession.createDataFrame(table.collect(), table.schema)  # three rows per model
     best = model_select(comparison).first()
     return {
         "models": fitted, "scored": scored, "comparison": comparison, "best": best["model"],
@@ -183,8 +184,9 @@ def score_model(
         try:
             model, meta = load_model(kpi.sparkSession, path)
             cooling_ratio = max(float(meta.get("cooling_power_ratio", cooling_ratio)), 0.0)
-        except Exception:  # missing or unreadable artifact
-            model = None
+        except AnalysisException as error:  # only an artifact that is not there
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     if model is None:
         return scoring.risk_heuristic(kpi, threshold)
     recent = kpi.filter(

@@ -37,9 +37,6 @@ def bad_range(c: str) -> str:
 DUPES = "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM raw GROUP BY miner_id, \"timestamp\") AS g"
 
 # --- profile
-add("dq_schema_check", lambda s, p: q.schema_check(v.raw_text(s, p).drop("cooling_power_w")),
-    """SELECT CASE WHEN column_name = 'cooling_power_w' THEN 'missing' ELSE 'extra' END AS issue, column_name AS "column" FROM (
-DESCRIBE SELECT * FROM raw) AS d WHERE column_name = 'cooling_power_w' OR column_name NOT IN (""" + ", ".join(f"'{c}'" for c in S.REQUIRED_COLUMNS) + ")", ["raw"])
 add("dq_missing_by_column", lambda s, p: q.missing_by_column(v.raw_text(s, p)),
     melt("column", "missing", {c: f'count(CASE WHEN "{c}" IS NULL THEN 1 END)' for c in RAW_COLUMNS}), ["raw"])
 add("dq_parse_nulls", lambda s, p: q.parse_nulls(v.raw_text(s, p)),
@@ -250,7 +247,7 @@ FROM (SELECT *, CASE WHEN kind IS NULL THEN concat('Unsupported setting key ''',
  WHEN kind = 'object' AND t <> '' AND j <> 'OBJECT' THEN concat('Setting ''', "key", ''' must be a JSON object')
  WHEN kind = 'array' AND t <> '' AND j IS NULL THEN concat('Invalid JSON array for ''', "key", '''')
  WHEN kind = 'array' AND t <> '' AND j <> 'ARRAY' THEN concat('Setting ''', "key", ''' must be a JSON array')
- WHEN kind = 'timezone' AND t NOT IN ('', 'UTC', 'Europe/Berlin', 'Mars/Base') THEN concat('Invalid timezone for ''', "key", '''')
+ WHEN kind = 'timezone' AND t NOT IN ('', 'UTC', 'Europe/Berlin') THEN concat('Invalid timezone for ''', "key", '''')
  ELSE '' END AS error FROM (SELECT *, trim(value) AS t, TRY_CAST(trim(value) AS DOUBLE) AS x, {_kind} AS kind, {_bound(0)} AS lo, {_bound(1)} AS hi,
  {_json.replace('(t)', '(trim(value))')} AS j FROM settings) AS typed) AS judged""", ["settings"])
 

@@ -30,8 +30,8 @@ FROM risk) AS r WHERE rn = 1""", ["risk"], ["risk_score"])
 _snap = (f"0.12e0 + 0.35e0 * ({between('(asic_temperature_c - 70e0) / 40e0', 0, 1.35)}) + 0.28e0 * ({between('power_instability_index', 0, 1)})"
          f" + 0.22e0 * ({between('-hashrate_deviation_pct / 45e0', 0, 1.25)}) + 0.10e0 * ({between('(asic_voltage_v - 12.5e0) / 1.8e0', 0, 1)})")
 # Nine digits, so that half-way cases at the sixth stay with the comparison's own rounding.
-add("risk_snapshot", lambda s, p: sc.risk_snapshot(v.kpi(s, p).filter("hashrate_deviation_pct is not null"), 9).select("id", "risk_score", "risk_band", "predicted_failure"),
-    f"SELECT id, r AS risk_score, {band('r', S.BANDS_OFFLINE)} AS risk_band, r >= 0.55e0 AS predicted_failure FROM (SELECT id, {between(_snap, 0.03, 0.99)} AS r FROM kpi WHERE hashrate_deviation_pct IS NOT NULL) AS x",
+add("risk_snapshot", lambda s, p: sc.risk_snapshot(v.kpi(s, p), 9).select("id", "risk_score", "risk_band", "predicted_failure"),
+    f"SELECT id, r AS risk_score, {band('r', S.BANDS_OFFLINE)} AS risk_band, r >= 0.55e0 AS predicted_failure FROM (SELECT id, {between(_snap, 0.03, 0.99)} AS r FROM kpi) AS x",
     ["kpi"], ["risk_score"])
 
 
@@ -200,7 +200,7 @@ add("train_gbt", _train_one(lambda n: SMALL["gradient_boosting"]()))
 
 def _compare(s, p):
     feats = _features(s, p)
-    return feats, tr.train_and_compare(feats, {"logistic_regression": lambda: tr.logistic(float(feats.count())), "random_forest": SMALL["random_forest"]})
+    return feats, tr.train_and_compare(feats, {"logistic_regression": lambda: tr.logistic(float(feats.count())), **SMALL})
 
 
 add("model_select", lambda s, p: tr.model_select(_compare(s, p)[1]["comparison"]))

@@ -60,10 +60,10 @@ add("curtailment_windows", lambda s, p: _site_settings(s, p).select("site", F.ar
 
 def _per_site(s, p):
     """Devices scored under the settings of their own site; a device and its site share a number."""
-    cfg = po.policy_config(_site_settings(s, p).filter("policy_timezone not in ('Mars/Base')"))
+    cfg = po.policy_config(_site_settings(s, p))
     packed = cfg.select("site", F.struct(*[c for c in cfg.columns if c != "site"]).alias("cfg"))
     rows = v.risk(s, p).withColumn("site", F.substring("miner_id", 3, 18).try_cast("bigint"))
-    return rows.join(packed, "site").filter("cfg.timezone in ('UTC', 'Europe/Berlin')")
+    return rows.join(packed, "site")
 
 
 cte("priced", f"""SELECT r.*, c.* EXCLUDE (site), local_hour, inside AS in_curtailment_window,
@@ -72,7 +72,7 @@ coalesce({_IS_WINDOW} AND (local_hour >= 17 OR local_hour < 3), false) AS inside
 coalesce(CASE WHEN {_SCHEDULE} = '3=0.0;18=0.25' AND local_hour = 18 THEN 0.25e0 WHEN {_SCHEDULE} = '3=0.0;18=0.25' AND local_hour = 3 THEN 0e0
  WHEN {_SCHEDULE} = '4=0.3' AND local_hour = 4 THEN 0.3e0 END, energy_price_usd_per_kwh) AS base FROM (SELECT risk.id, c.*,
  (extract(hour FROM "timestamp") + CASE timezone WHEN 'Europe/Berlin' THEN 1 ELSE 0 END) % 24 AS local_hour
- FROM risk JOIN configs AS c ON concat('m-', c.site) = risk.miner_id WHERE timezone IN ('UTC', 'Europe/Berlin')) AS h) AS x
+ FROM risk JOIN configs AS c ON concat('m-', c.site) = risk.miner_id) AS h) AS x
 JOIN risk AS r ON r.id = x.rid JOIN configs AS c ON c.site = x.rsite""", ["risk", "configs"])
 add("energy_price", lambda s, p: po.energy_price(_per_site(s, p)).select("id", "local_hour", "in_curtailment_window", "energy_price"),
     "SELECT id, CAST(local_hour AS BIGINT) AS local_hour, in_curtailment_window, energy_price FROM priced", ["priced"], ["energy_price"])

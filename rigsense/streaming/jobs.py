@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +16,8 @@ from rigsense import schema as S
 from rigsense.operators import scoring
 from rigsense.operators.alerts import alert_generate
 from rigsense.operators.kpi import efficiency, hashrate_deviation_by_mode, power_instability, te_worker
-from rigsense.operators.tables import absent_rows, upsert, write_by_date
+from rigsense.operators.scale import latest_per_key
+from rigsense.operators.tables import absent_rows, write_by_date
 
 KEY = ["miner_id", "timestamp"]
 TAIL_ROWS = 5  # earlier rows that the rolling power window needs
@@ -38,24 +40,24 @@ def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], ch
 
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A Parquet folder, or no rows while it does not exist yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --------------------------------------------------------------------------- ingest
-def dedup_stream(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of a key that arrive within the watermark delay."""
-    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(KEY)
+def _by_id(df: DataFrame) -> list[str]:
+    return ["id"] if "id" in df.columns else []
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> None:
-    """Deduplicated rows into a date-partitioned table.
+def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Rows whose key is new into a date-partitioned table, however late they come.
 
-    The stream state catches repeats close in time; the keyed insert catches the rest and
-    replays, and reads only the dates the batch touches.
+    The keyed insert catches repeats and replays; it reads only the dates the batch touches and
+    keeps no state. Of repeats within a batch the one with the smallest id stays.
     """
     schema = StructType(stream.schema.fields)
 
@@ -64,14 +66,14 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "1 hour")
         days = batch.select(F.to_date("timestamp").alias("event_date")).distinct()
         stored = table_or_empty(spark, path, StructType(schema.fields).add("event_date", "date"))
         scoped = stored.join(F.broadcast(days), "event_date", "left_semi")  # one row per day
-        write_by_date(absent_rows(batch, scoped, KEY), path)
+        write_by_date(absent_rows(batch, scoped, KEY, _by_id(batch)), path)
 
-    run_available(dedup_stream(stream, delay), write, checkpoint)
+    run_available(stream, write, checkpoint)
 
 
 # --------------------------------------------------------------------------- KPIs
 def kpi_job(stream: DataFrame, path: str, checkpoint: str, cooling_ratio: float = S.COOLING_RATIO) -> None:
-    """KPI rows for new telemetry.
+    """KPI rows for telemetry whose key has none yet; a reading that comes again is left out.
 
     Rolling windows reach back over the batch boundary: the last rows of each device are kept
     in a small table that each batch rewrites from the previous one. The mode medians are
@@ -84,14 +86,17 @@ def kpi_job(stream: DataFrame, path: str, checkpoint: str, cooling_ratio: float
         spark = batch.sparkSession
         cols = [f.name for f in power.fields]
         tail = table_or_empty(spark, f"{path}/tail/{(n - 1) % 3}", power) if n else spark.createDataFrame([], power)
-        marked = batch.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), True)
+        keys = StructType([f for f in schema.fields if f.name in KEY]).add("batch", "integer")
+        stored = table_or_empty(spark, f"{path}/kpi", keys).filter(F.col("batch") < n)
+        fresh = absent_rows(batch, stored, KEY, _by_id(batch))
+        marked = fresh.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), True)
         rolled = power_instability(marked).filter("_new").drop("_new")
         derived = {"efficiency_j_per_th", "power_instability_index", "hashrate_deviation_pct", "true_efficiency_te", S.TARGET}
         rows = hashrate_deviation_by_mode(rolled).withColumns({
             "efficiency_j_per_th": efficiency(), "true_efficiency_te": te_worker(cooling_ratio), S.TARGET: F.lit(0),
         }).select(*[c for c in S.KPI_TYPES if c in derived or c in schema.names])
         rows.write.mode("overwrite").parquet(f"{path}/kpi/batch={n}")
-        order = Window.partitionBy("miner_id").orderBy(F.col("timestamp").desc())
+        order = Window.partitionBy("miner_id").orderBy(F.col("timestamp").desc(), *[F.col(c).desc() for c in _by_id(marked)])
         keep = marked.select(*cols).withColumn("_rn", F.row_number().over(order)).filter(f"_rn <= {TAIL_ROWS}")
         keep.drop("_rn").write.mode("overwrite").parquet(f"{path}/tail/{n % 3}")
 
@@ -133,12 +138,13 @@ def rollup_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime |
     """Hourly rollup as one small partial table per batch, added up when read.
 
     No state grows with the 30-day lateness and no raw row is read twice. Rows older than the
-    lateness never reach the rollup; they are kept aside. Lateness counts from ``as_of``, or
+    lateness, or without a time, never reach the rollup; they are kept aside. Lateness counts from ``as_of``, or
     from the newest time the batch has seen.
     """
     def write(batch: DataFrame, n: int) -> None:
         newest = F.lit(as_of) if as_of else batch.agg(F.max("timestamp")).scalar()
-        tagged = batch.withColumn("_late", F.col("timestamp") < newest - F.expr(f"INTERVAL {late_days} DAYS"))
+        late = F.col("timestamp") < newest - F.expr(f"INTERVAL {late_days} DAYS")
+        tagged = batch.withColumn("_late", F.coalesce(late, F.lit(True)))
         partial_rollup(tagged.filter("not _late")).write.mode("overwrite").parquet(f"{path}/partials/batch={n}")
         tagged.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{path}/late/batch={n}")
 
@@ -149,19 +155,22 @@ def rollup_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime |
 def score_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime, lookback_hours: float, score: Callable[[DataFrame], DataFrame] = scoring.risk_heuristic, version: str = "v1") -> None:
     """Rescore the devices of each batch and merge the result into the prediction table.
 
-    The table holds one row per device and version; each batch writes its next state.
+    The table holds one row per device and version, that of its newest reading, so a reading that
+    arrives late changes nothing; each batch writes its next state.
     """
-    fields = "miner_id string, model_version string, predicted_at timestamp, risk_score double, risk_band string, predicted_failure boolean"
+    fields = "miner_id string, model_version string, predicted_at timestamp, reading_at timestamp, risk_score double, risk_band string, predicted_failure boolean"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         schema = spark.createDataFrame([], fields).schema
         recent = batch.filter(F.col("timestamp").between(F.lit(as_of - timedelta(hours=lookback_hours)), F.lit(as_of)))
         fresh = score(recent).select(
-            "miner_id", F.lit(version).alias("model_version"), F.lit(as_of).alias("predicted_at"),
+            "miner_id", F.lit(version).alias("model_version"), F.lit(as_of).alias("predicted_at"), F.col("timestamp").alias("reading_at"),
             "risk_score", "risk_band", "predicted_failure")
         before = table_or_empty(spark, f"{path}/{(n - 1) % 3}", schema) if n else spark.createDataFrame([], schema)
-        upsert(before, fresh, ["miner_id", "model_version"]).write.mode("overwrite").parquet(f"{path}/{n % 3}")
+        both = before.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+        newest = latest_per_key(both, ["miner_id", "model_version"], [F.col("reading_at").desc_nulls_last(), F.col("_new").desc()])
+        newest.drop("_new").write.mode("overwrite").parquet(f"{path}/{n % 3}")
         spark.createDataFrame([(n % 3,)], "slot int").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
     run_available(stream, write, checkpoint)

@@ -257,3 +257,38 @@ def test_retrain_guard_reasons(spark):
     reason = lambda **kw: one(retrain_guard(df, NOON, 30, **kw))["reason"]
     assert reason() == "not_enough_rows" and reason(min_rows=10) == "not_enough_miners"
     assert reason(min_rows=10, min_devices=3, min_hours=200.0) == "time_span_too_short" and reason(min_rows=10, min_devices=3) == "ok"
+
+
+def test_every_form_of_a_local_address_is_blocked(spark):
+    from rigsense.operators.urls import source_url_audit
+
+    bad = ["[::ffff:127.0.0.1]", "[::ffff:7f00:1]", "[0:0:0:0:0:ffff:10.0.0.1]", "2130706433", "127.1", "0x7f.0.0.1", "0177.0.0.1", "127.0.0.1.", "10.1.2.3"]
+    good = ["8.8.8.8", "[::ffff:8.8.8.8]", "134744072", "example.com", "1.2.3.4.5", "256.1.1.1"]
+    hosts = [h.strip("[]") for h in bad + good]
+    df = spark.createDataFrame([(f"http://{h}/",) for h in bad + good], "url string")
+    got = {r["url"]: r["valid"] for r in source_url_audit(df, hosts).collect()}
+    assert [h for h in bad if got[f"http://{h}/"]] == [] and all(got[f"http://{h}/"] for h in good)
+
+
+def test_zones_and_broken_lists(spark):
+    from pyspark.sql import functions as F
+
+    from rigsense.functions.exprs import known_zone
+    from rigsense.operators import policy
+
+    zones = spark.createDataFrame([("Europe/Berlin",), ("Mars/Base",), ("ABCD",), ("EST5EDT",)], "z string")
+    assert [r[0] for r in zones.select(known_zone(F.col("z"))).collect()] == [True, False, False, True]
+    text = spark.createDataFrame([('[{"hour":4,"price":"x"},null,5,{"hour":6,"price":0.5}]', '[7,{"start_hour":1,"end_hour":2}]')], "a string, b string")
+    row = text.select(policy.price_schedule(F.col("a")).alias("a"), policy.curtailment_windows(F.col("b")).alias("b")).first()
+    assert row["a"] == {4: 0.0, 6: 0.5} and [tuple(w) for w in row["b"]] == [(1, 2)]
+
+
+def test_narrow_columns_correlate(spark):
+    from rigsense.operators.analytics import pair_correlations, tradeoff_points
+
+    df = spark.range(2000).selectExpr("3000 + (id % 7) * 1e-6 AS a", "CAST(id % 7 AS DOUBLE) AS b", "5.1D AS c")
+    got = {(r["a"], r["b"]): r["r"] for r in pair_correlations(df, ["a", "b", "c"]).collect()}
+    assert abs(got["a", "b"] - 1) < 1e-5 and max(abs(x) for x in got.values() if x is not None) <= 1
+    assert got.get(("a", "c")) is None
+    with pytest.raises(ValueError):
+        tradeoff_points(df, 5001)

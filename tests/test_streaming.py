@@ -62,7 +62,7 @@ def test_windowed_rollup_in_state(spark, folder, sf_dir, tmp_path):
 def test_ingest_again_changes_nothing(spark, folder, sf_dir, tmp_path):
     for run in (1, 2):
         s = stream(spark, folder, sf_dir).select("id", "miner_id", "timestamp", "asic_power_w")
-        jobs.ingest(s, str(tmp_path / "t"), str(tmp_path / f"ck{run}"), delay="20 days")
+        jobs.ingest(s, str(tmp_path / "t"), str(tmp_path / f"ck{run}"))
     got = spark.read.parquet(str(tmp_path / "t")).select("id")
     assert rows(got) == rows(views.telemetry(spark, sf_dir).select("id"))
 
@@ -86,3 +86,30 @@ def test_alert_cooldown_over_batches(spark, folder, sf_dir, tmp_path):
     again = alert_generate(scored.join(known, "miner_id"), open_alerts, views.AS_OF + timedelta(minutes=30), 0.2, 1)
     assert again.isEmpty()
     assert not alert_generate(scored, open_alerts.withColumn("resolved", F.lit(True)), views.AS_OF, 0.2, 1).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def newest_first(spark, sf_dir, tmp_path_factory):
+    """The events in three files, newest first, and the newest file a second time."""
+    path = str(tmp_path_factory.mktemp("late"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.dayofmonth("ts")
+    for lo, hi in ((20, 40), (10, 20), (0, 10), (20, 40)):
+        e.filter((day > lo) & (day <= hi)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_late_and_repeated_files_lose_and_double_nothing(spark, newest_first, sf_dir, tmp_path):
+    s = stream(spark, newest_first, sf_dir)
+    jobs.ingest(s.select("id", "miner_id", "timestamp", "asic_power_w"), str(tmp_path / "t"), str(tmp_path / "ck1"))
+    assert rows(spark.read.parquet(str(tmp_path / "t")).select("id")) == rows(views.telemetry(spark, sf_dir).select("id"))
+    jobs.kpi_job(s, str(tmp_path / "k"), str(tmp_path / "ck2"))
+    got = spark.read.parquet(str(tmp_path / "k" / "kpi"))
+    assert got.count() == got.select("miner_id", "timestamp").distinct().count() == views.telemetry(spark, sf_dir).count()
+
+
+def test_an_older_reading_keeps_the_newer_score(spark, newest_first, sf_dir, tmp_path):
+    jobs.score_job(views.as_kpi(stream(spark, newest_first, sf_dir)), str(tmp_path), str(tmp_path / "ck"), views.AS_OF, 24 * 40)
+    got = jobs.current_predictions(spark, str(tmp_path)).groupBy("miner_id").agg(F.max("reading_at").alias("t"))
+    newest = views.telemetry(spark, sf_dir).filter(F.col("timestamp") <= F.lit(views.AS_OF)).groupBy("miner_id").agg(F.max("timestamp").alias("t"))
+    assert rows(got) == rows(newest)
