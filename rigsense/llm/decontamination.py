@@ -190,7 +190,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text")
     """All documents, with the hit spans cut out of their texts."""
     found = find(documents, benchmark, text)
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("hit_spans") / 2), lambda i: F.substring(
+        F.sequence(F.lit(0), F.floor(F.size("hit_spans") / 2).cast("int")), lambda i: F.substring(
             F.col(text), F.coalesce(F.get("hit_spans", (2 * i - 1).cast("int")), F.lit(0)) + 1,
             F.coalesce(F.get("hit_spans", (2 * i).cast("int")), F.length(text)) - F.coalesce(F.get("hit_spans", (2 * i - 1).cast("int")), F.lit(0)),
         ),

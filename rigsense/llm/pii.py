@@ -44,7 +44,7 @@ LOOSE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"(?<![0-9+(])[0-9(][0-9]*+[\x20().0-9-]+[0-9]",
 }
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def _digits(value: Column) -> Column:

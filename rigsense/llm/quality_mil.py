@@ -123,7 +123,7 @@ def _gradients(w: Weights, bags: Bags, rows: np.ndarray, label: np.ndarray) -> l
     return [d_words, code.T @ d_wide, code.T @ d_gate, (wide * gate).T @ d_raw, bag.T @ error, np.array([error.sum()])]
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64, seed: int = 3) -> Weights:
+def fit(texts: list[str], labels: np.ndarray, rounds: int | None = None, batch: int = 64, seed: int = 3) -> Weights:
     """Train on texts and their 0/1 labels; the same input gives the same weights."""
     rng = np.random.default_rng(seed)
     w = Weights(*[x.astype(np.float32) for x in (
@@ -132,6 +132,8 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 64,
     )])
     made = [(*_bags(pa.array([t])), y) for t, y in zip(texts, labels) if t]
     made = [x for x in made if len(x[1])]
+    if rounds is None:  # a small sample is gone through more often
+        rounds = max(6, -(-300 * batch // max(1, len(made))))
     first, second, step = [np.zeros_like(x) for x in w.all()], [np.zeros_like(x) for x in w.all()], 0
     for _ in range(rounds if made else 0):
         order = rng.permutation(len(made))

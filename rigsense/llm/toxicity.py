@@ -156,6 +156,8 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.
 
 def scores(model: Lexicon, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
     """Score of each text, and per text the byte spans of sentences with at least LOCATED, as flat start-end lists."""
+    if not model.hashes.size:
+        return np.zeros(len(texts)), [[] for _ in range(len(texts))]
     sentences = _Sentences(texts, model)
     prob, log_clean = sentences.log_clean(model.weights, model.bias)
     bags = sentences.bags

@@ -345,7 +345,7 @@ def test_links_in_crowds(spark, crowd):
     for center in list(values)[:4]:
         for _ in range(40):
             flips = rng.choice(64, rng.integers(1, 4), replace=False)
-            values.add(int(np.bitwise_xor.reduce([center, *[1 << int(b) for b in flips]], dtype=object)))
+            values.add(center ^ sum(1 << int(b) for b in flips))
     chain = 12345
     for b in range(0, 60, 3):
         chain ^= 7 << b
