@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rigsense.llm.base import stage
+from rigsense.llm.base import stage, text_bytes
 from rigsense.llm.rans import Block, Frequencies, encode_block
 from rigsense.llm.tokens import token_rows, unpack
 from rigsense.operators.scale import work_dir
@@ -49,8 +49,11 @@ def count_ids(rows: DataFrame) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = np.bincount(unpack(body.as_py(), n), minlength=total.size)
+            data, ends = text_bytes(batch.column(1))
+            wide = np.diff(ends) == 4 * np.asarray(batch.column(0))
+            for kind, inside in (("<u2", ~wide), ("<u4", wide)):
+                body = data if inside.all() else data[np.repeat(inside, np.diff(ends))]
+                found = np.bincount(body.view(kind), minlength=total.size)
                 found[:total.size] += total
                 total = found
         seen = np.flatnonzero(total)
