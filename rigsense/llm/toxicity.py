@@ -34,7 +34,7 @@ LIFT = 4.0  # how much likelier a feature must make the toxic label
 THRESHOLD = 0.3
 LOCATED = 0.3  # probability from which a sentence is reported
 SLOTS = 1 << 22  # of the table that first counts features
-_STEP = 400  # texts that a fit takes apart at once
+_STEP = 200  # texts that a fit takes apart at once
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 33, 46, 63]] = True  # line feed ! . ?
 _LETTER = IS_WORD[LOWER]
@@ -83,28 +83,44 @@ class _Sentences:
             pairs.append(part[word[known]] * model.hashes.size + place[known])
         self.part, self.word = np.divmod(np.unique(np.concatenate(pairs)), max(1, model.hashes.size))
 
+        self.owner, self.size = bags.part_owner, bags.size
+
     def log_clean(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each sentence, and the log of each text's chance that no sentence is toxic."""
-        bags = self.bags
-        logit = bias + np.bincount(self.part, weights[self.word], bags.part_first.size)
+        logit = bias + np.bincount(self.part, weights[self.word], self.owner.size)
         prob = 1 / (1 + np.exp(-np.clip(logit, -40, 30)))
-        return prob, np.bincount(bags.part_owner, np.log1p(-np.minimum(prob, 1 - 1e-9)), bags.size)
+        return prob, np.bincount(self.owner, np.log1p(-np.minimum(prob, 1 - 1e-9)), self.size)
+
+
+class _Sample(_Sentences):
+    """The sentences of all texts of a sample, taken apart some texts at a time; without their bags."""
+
+    def __init__(self, texts: list[str], model: Lexicon):
+        parts, words, owners, before = [], [], [], 0
+        for lo in range(0, len(texts), _STEP):
+            some = _Sentences(pa.array(texts[lo:lo + _STEP], pa.string()), model)
+            parts.append(some.part + before)
+            words.append(some.word)
+            owners.append(some.owner + lo)
+            before += some.owner.size
+        self.part, self.word, self.owner = (np.concatenate(x) for x in (parts, words, owners))
+        self.size = len(texts)
 
 
-def _per_text(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text numbers and hashes of the different features of each text, some texts at a time."""
-    for lo in range(0, len(texts), _STEP):
-        bags = _bags(pa.array(texts[lo:lo + _STEP], pa.string()))
+def _per_text(texts: list[str], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text numbers and hashes of the different features of each of the given texts, some texts at a time."""
+    for lo in range(0, rows.size, _STEP):
+        bags = _bags(pa.array([texts[i] for i in rows[lo:lo + _STEP]], pa.string()))
         for word, found in _features(bags):
             order = np.lexsort((found, bags.owner[word]))
             owner, found = bags.owner[word][order], found[order]
             new = np.ones(found.size, bool)
             new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-            yield owner[new] + lo, found[new]
+            yield rows[owner[new] + lo], found[new]
 
 
 def _screen(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes of the features worth a weight: a first pass counts them in slots, a second one exactly."""
+    """Hashes of the features worth a weight: counted in toxic texts in slots, then exactly, then in the others."""
     toxic = labels > 0
 
     def telling(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
@@ -112,21 +128,20 @@ def _screen(texts: list[str], labels: np.ndarray) -> np.ndarray:
         return (yes >= MIN_TEXTS) & (yes / max(1, toxic.sum()) >= LIFT * rate)
 
     slot = lambda found: (found >> np.uint64(42)).astype(np.int64)
-    counts = np.zeros((2, SLOTS), np.int32)
-    for owner, found in _per_text(texts):
-        for k in (0, 1):
-            counts[k] += np.bincount(slot(found[toxic[owner] == k]), minlength=SLOTS).astype(np.int32)
-    busy = counts[1] >= MIN_TEXTS
-    kept = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
-    for owner, found in _per_text(texts):
-        inside = busy[slot(found)]
-        for k in (0, 1):
-            kept[k].append(found[inside & (toxic[owner] == k)])
-    hashes, yes = np.unique(np.concatenate(kept[1]), return_counts=True)
+    counts = np.zeros(SLOTS, np.int64)
+    for _, found in _per_text(texts, np.flatnonzero(toxic)):
+        counts += np.bincount(slot(found), minlength=SLOTS)
+    busy = counts >= MIN_TEXTS
+    kept = [np.empty(0, np.uint64)]
+    for _, found in _per_text(texts, np.flatnonzero(toxic)):
+        kept.append(found[busy[slot(found)]])
+    hashes, yes = np.unique(np.concatenate(kept), return_counts=True)
     many = yes >= MIN_TEXTS
     hashes, yes = hashes[many], yes[many]
-    others = np.sort(np.concatenate(kept[0]))
-    no = np.searchsorted(others, hashes, "right") - np.searchsorted(others, hashes, "left")
+    no = np.zeros(hashes.size, np.int64)
+    for _, found in _per_text(texts, np.flatnonzero(~toxic)) if hashes.size else ():
+        place = np.minimum(np.searchsorted(hashes, found), hashes.size - 1)
+        no += np.bincount(place[hashes[place] == found], minlength=hashes.size)
     return hashes[telling(yes, no)]
 
 
@@ -136,10 +151,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 300, rate: float = 0.
     hashes = _screen(texts, labels) if len(texts) else none.hashes
     if not hashes.size:
         return none
-    sentences = _Sentences(pa.array(texts, pa.string()), Lexicon(hashes, np.zeros(hashes.size), 0))
+    sentences = _Sample(texts, Lexicon(hashes, np.zeros(hashes.size), 0))
     weights, bias = np.zeros(hashes.size), -6.0
     first, second = np.zeros(hashes.size + 1), np.zeros(hashes.size + 1)
-    owner = sentences.bags.part_owner
+    owner = sentences.owner
     for step in range(1, steps + 1):
         prob, log_clean = sentences.log_clean(weights, bias)
         # The slope by a sentence's logit is its probability times this: 1 for a clean text, below 0 for a toxic one.
