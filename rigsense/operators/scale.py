@@ -68,6 +68,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the key columns come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on]
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def attach_row(df: DataFrame, row: DataFrame) -> tuple[DataFrame, Column]:
     """Make a one-row DataFrame available on every row of ``df``.
 
@@ -117,7 +124,7 @@ def exact_quantiles(
         ],
     )
     if by:
-        around = slim.join(F.broadcast(sketch) if few_groups else sketch, by)
+        around = null_safe_join(slim, F.broadcast(sketch) if few_groups else sketch, by)
     else:
         packed, row = attach_row(slim, sketch)
         around = packed.select(
@@ -158,7 +165,7 @@ def exact_quantiles(
     ).groupBy(*by, "_q", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
 
     order = Window.partitionBy(*by, "_q").orderBy("_v")
-    ranked = inside.withColumn("_end", F.sum("_cnt").over(order)).join(facts, [*by, "_q"])
+    ranked = null_safe_join(inside.withColumn("_end", F.sum("_cnt").over(order)), facts, [*by, "_q"])
     start = F.col("_below") + F.col("_end") - F.col("_cnt")
     end = F.col("_below") + F.col("_end") - F.lit(1)
     left, right = F.floor("_pos"), F.ceil("_pos")
@@ -171,9 +178,11 @@ def exact_quantiles(
         F.col("_left") + (F.col("_right") - F.col("_left")) * (F.col("_pos") - F.floor("_pos")),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
     )
-    return picked.withColumn("_val", value).groupBy(*by).agg(
+    found = picked.withColumn("_val", value).groupBy(*by).agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)]
     )
+    # Groups without any value are groups all the same.
+    return null_safe_join(sketch.select(*by), found, by, "left") if by else found
 
 
 # --------------------------------------------------------------------------- device windows
@@ -190,7 +199,8 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
 
 
 def _in_keys(key: str, keys: list) -> Column:
-    return F.coalesce(F.col(key).isin(keys), F.lit(False))
+    found = F.coalesce(F.col(key).isin([k for k in keys if k is not None]), F.lit(False))
+    return found | F.col(key).isNull() if None in keys else found
 
 
 def _device_blocks(
@@ -223,7 +233,7 @@ def _device_blocks(
         )
     first, last = first.cast("long"), F.greatest(last.cast("long"), F.col("_home"))
     spans = spans.select(key, "_bucket", "_home", F.sequence(first, last).alias("_blks"))
-    return tagged.join(spans, [key, "_bucket"]).withColumn("_blk", F.explode("_blks")).drop(
+    return null_safe_join(tagged, spans, [key, "_bucket"]).withColumn("_blk", F.explode("_blks")).drop(
         "_bucket", "_blks"
     )
 
@@ -320,7 +330,7 @@ def fill_gaps(
         Window.partitionBy(key, "_home").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = (
-        blocks.join(carried, [key, "_home"])
+        null_safe_join(blocks, carried, [key, "_home"])
         .withColumns({
             c: F.coalesce(F.last(c, True).over(upto), F.col(f"_carry_{c}")) for c in columns
         })

@@ -88,6 +88,27 @@ def test_split_running_totals(skewed, desc):
     assert rows(plain) == rows(cut)
 
 
+def test_quantiles_keep_null_and_empty_groups(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 6.0), ("e", None)], "g string, v double")
+    found = [
+        sorted(map(tuple, scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}, ["g"], few, route).collect()), key=repr)
+        for few, route in [(False, False), (False, True), (True, True)]
+    ]
+    assert found[0] == found[1] == found[2] == sorted([("a", 1.5), (None, 5.5), ("e", None)], key=repr)
+
+
+def test_rows_without_a_device_are_split(spark, skewed):
+    d = skewed.withColumn("miner_id", F.lit(None).cast("string"))
+    assert scale.hot_keys(d, "miner_id", 10) == [None]
+
+    def sums(part, w):
+        return part.withColumn("s", F.count("*").over(w.rowsBetween(-3, 0)))
+
+    plain = scale.over_device_rows(d, sums, back=3, split=False)
+    cut = scale.over_device_rows(d, sums, back=3, rows=50, split=True)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, cut.collect()))
+
+
 def test_size_check(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert scale.fits_one_task(e.groupBy("user_id").count())
