@@ -1,10 +1,16 @@
 """Quality rules and hashed n-gram log-likelihood ratios, all as column expressions.
 
-Words are runs without white space. Every word and every pair of neighbouring words is hashed into
-``BUCKETS``. Two multinomials over buckets are counted, one over all documents (raw) and one over
-trusted documents. A text's ratio is the mean over its words and pairs of the log of the trusted
-probability over the raw one; a text is kept if it passes the base rules and its ratio is at least
-``MIN_RATIO``. Counts take all rows; the two tables have a fixed size, whatever the corpus.
+Words are runs without white space. Grams are words and pairs of neighbouring words, known by 64-bit
+hashes. Each gram is counted over all documents (raw) and over trusted documents; these counts grow
+with the corpus and stay in a written table. A gram's weight has two parts. The first is the log of
+the trusted over the raw probability of its class, one of ``BUCKETS`` by hash. The second corrects
+the class to the gram: the log of its trusted count over the count that its raw count and its class
+let expect, both plus ``PRIOR``. So a gram seen often has the ratio of its own counts, and one seen
+rarely keeps to its class, whatever the size of the corpus.
+
+A text's ratio is the mean weight of its grams; a text is kept if it passes the base rules and its
+ratio is at least ``MIN_RATIO``. The ``HOT`` most frequent grams are looked up in arrays of fixed size,
+so that no frequent gram makes a large join partition; all others are joined by hash.
 
 Defined results: a null text has no words, fails the base rules and has ratio 0. Without trusted
 documents all ratios are 0. Repeated rows count each; an empty table gives an empty result. Columns
@@ -14,21 +20,33 @@ named like an output are replaced.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rigsense.llm.base import new_name
+from rigsense.llm.base import new_name, stage
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 14  # classes of grams
 MIN_RATIO = -0.1  # nats per word or pair: about 0.9 times as likely among trusted texts as in the corpus
 SMOOTHING = 1.0  # added to each bucket's count
+PRIOR = 1.0  # added to a gram's trusted count and to the expected one
+HOT = 1 << 13  # grams that are not joined
+SLOTS = (1 << 14, 1 << 13)  # places of the two arrays of hot grams
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _WHITE = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "[#*$%&|<>]"
 
 
+@dataclass
+class Weights:
+    buckets: list[float]  # log of trusted over raw probability of each class
+    hot: list[tuple[int, float]]  # the most frequent grams and their corrections
+    grams: DataFrame | None  # gram, correction: all counted grams; None without trusted documents
+
+
 def with_words(documents: DataFrame, text: str, words: str, hashes: str, pairs: str) -> DataFrame:
     """``documents`` with the words of each text, their hashes, and the hashes of pairs of neighbours.
 
@@ -77,31 +95,88 @@ def measure(documents: DataFrame, text: str = "text", extra=None) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop(words, hashes, pairs, grams, lines, order)
 
 
-def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> list[float]:
-    """For each bucket, the log of its trusted over its raw probability.
+def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> Weights:
+    """The weights of all grams of the documents.
 
-    ``trusted`` lists the keys of trusted documents. Both counts come from one pass over all documents;
-    the driver gets one row per bucket.
+    ``trusted`` lists the keys of trusted documents. Both counts come from one pass over all documents
+    and are written; the driver gets one row per bucket and the most frequent grams.
     """
     marks = trusted.select(F.col(key)).distinct().withColumn("trusted", F.lit(1))
     rows = documents.select(F.col(key), F.col(text)).join(marks.hint("merge"), key, "left")  # one plan for every size
     rows = with_words(rows, text, "_words", "_hashes", "_pairs")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
-    counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")).collect()
-    raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    weights = [0.0] * BUCKETS
-    if good:
-        extra = SMOOTHING * BUCKETS
-        for r in counts:
-            weights[r["bucket"]] = math.log((r["good"] + SMOOTHING) / (good + extra)) - math.log((r["raw"] + SMOOTHING) / (raw + extra))
-    return weights
-
-
-def judge(documents: DataFrame, weights: list[float], text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
+    counts = stage(grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")), "quality-grams")
+    sums = counts.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
+    raw, good = sum(r["raw"] for r in sums), sum(r["good"] for r in sums)
+    weights, share = [0.0] * BUCKETS, [0.0] * BUCKETS
+    if not good:
+        return Weights(weights, [], None)
+    extra = SMOOTHING * BUCKETS
+    for r in sums:
+        weights[r["bucket"]] = math.log((r["good"] + SMOOTHING) / (good + extra)) - math.log((r["raw"] + SMOOTHING) / (raw + extra))
+        share[r["bucket"]] = r["good"] / r["raw"]
+    expected = F.col("raw") * F.get(_constant(share), _bucket(F.col("gram")))
+    table = counts.select("gram", "raw", F.log((F.col("good") + PRIOR) / (expected + PRIOR)).alias("correction"))
+    hot = table.orderBy(F.desc("raw"), "gram").limit(HOT).collect()
+    return Weights(weights, [(r["gram"], r["correction"]) for r in hot], table.select("gram", "correction"))
+
+
+def _constant(values: list, kind: str = "double") -> Column:
+    """An array that is folded into one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+class _Hot:
+    """Frequent grams by place: each in the first array if its place is free there, else in the second, else joined."""
+
+    def __init__(self, grams: list[tuple[int, float]]):
+        keys = [[place + 1 for place in range(n)] for n in SLOTS]  # a key that does not belong there: free
+        values = [[0.0] * n for n in SLOTS]
+        for gram, value in grams:
+            for k, place in enumerate((gram % SLOTS[0], (gram >> 32) % SLOTS[1])):
+                if keys[k][place] == place + 1:
+                    keys[k][place], values[k][place] = gram, value
+                    break
+        self._keys, self._values = [_constant(x, "bigint") for x in keys], [_constant(x) for x in values]
+
+    def _at(self, gram: Column) -> list[tuple[Column, Column]]:
+        places = [F.pmod(gram, F.lit(SLOTS[0])).cast("int"), F.pmod(F.shiftright(gram, 32), F.lit(SLOTS[1])).cast("int")]
+        return [(F.get(k, p) == gram, F.get(v, p)) for k, v, p in zip(self._keys, self._values, places)]
+
+    def has(self, gram: Column) -> Column:
+        (first, _), (second, _) = self._at(gram)
+        return first | second
+
+    def value(self, gram: Column) -> Column:
+        (first, one), (second, two) = self._at(gram)
+        return F.when(first, one).when(second, two).otherwise(0.0)
+
+
+def _joined(documents: DataFrame, weights: Weights, hot: _Hot, text: str, row: str, value: str) -> DataFrame:
+    """The mean correction of each row's grams that are not hot. Rows have equal ids only if they are equal."""
+    rows = with_words(documents.select(row, text), text, "_words", "_hashes", "_pairs")
+    grams = rows.select(row, F.explode(F.concat("_hashes", "_pairs")).alias("gram")).filter(~hot.has(F.col("gram")))
+    table = weights.grams.filter(~hot.has(F.col("gram")))
+    found = grams.join(table.hint("merge"), "gram", "left")
+    return found.groupBy(row).agg(F.avg(F.coalesce("correction", F.lit(0.0))).alias(value))
+
+
+def judge(documents: DataFrame, weights: Weights, text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``documents`` with the base measures, log_ratio and kept."""
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one constant
-    add = lambda s, gram: s + F.get(table, _bucket(gram))
-    total = {"log_ratio": lambda hashes, pairs: F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), add), add)}
-    rows = measure(documents.drop("log_ratio"), text, total)
+    documents = documents.drop("log_ratio", "kept")
+    table, hot = _constant(weights.buckets), _Hot(weights.hot)
+    row, rest, mean = (new_name(c) for c in ("row", "rest", "mean"))
+    add = lambda s, gram: s + F.get(table, _bucket(gram)) + hot.value(gram)
+    cold = lambda grams: F.size(F.filter(grams, lambda g: ~hot.has(g)))
+    total = {
+        "log_ratio": lambda hashes, pairs: F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), add), add),
+        rest: lambda hashes, pairs: cold(hashes) + cold(pairs),
+    }
+    plain = [f.name for f in documents.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    marked = documents.withColumn(row, F.xxhash64(*plain))
+    rows = measure(marked, text, total)
+    if weights.grams is not None:
+        rows = rows.join(_joined(marked, weights, hot, text, row, mean).hint("merge"), row, "left")
+        rows = rows.withColumn("log_ratio", F.col("log_ratio") + F.col(rest) * F.coalesce(mean, F.lit(0.0)))
     rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, F.col("log_ratio") / (2 * F.col("n_words") - 1)).otherwise(0.0))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))
+    return rows.drop(row, rest, mean).withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))

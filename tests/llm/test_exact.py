@@ -254,6 +254,30 @@ def test_log_ratio_by_hand(spark):
     assert ratio[1] == pytest.approx((both + 2 * good) / 3) and ratio[2] == pytest.approx((both + 2 * bad) / 3) and ratio[3] == 0
 
 
+def test_grams_that_share_a_bucket(spark, monkeypatch):
+    """Two words of one bucket, one only among trusted texts and one only among others, keep their own ratios."""
+    first, seen = {}, None
+    for i in range(100_000):
+        bucket = xxhash.xxh64_intdigest(f"w{i}".encode(), 42) % quality_rules.BUCKETS
+        if bucket in first:
+            seen = first[bucket], f"w{i}"
+            break
+        first[bucket] = f"w{i}"
+    fine, junk = seen
+    texts = [(i, fine if i < 40 else junk) for i in range(80)] + [(200, None), (7, fine)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    trusted = rows.filter("doc_id < 40").select("doc_id")
+    for hot in (quality_rules.HOT, 1):  # looked up, and joined by hash
+        monkeypatch.setattr(quality_rules, "HOT", hot)
+        judged = quality_rules.judge(rows, quality_rules.log_ratios(rows, trusted)).collect()
+        assert len(judged) == len(rows.collect())
+        b = quality_rules.BUCKETS
+        both = np.log((41 + 1) / (41 + b)) - np.log((81 + 1) / (81 + b))
+        want = {fine: both + np.log(42 / (41 * 41 / 81 + 1)), junk: both + np.log(1 / (40 * 41 / 81 + 1)), None: 0}
+        assert want[junk] < quality_rules.MIN_RATIO < 0
+        assert all(r["log_ratio"] == pytest.approx(want[r["text"]]) for r in judged)
+
+
 # --------------------------------------------------------------------------------- PII
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
