@@ -27,9 +27,9 @@ UNKNOWN = "und"
 HIDDEN = 8
 WINDOW = 128  # bytes that the network sees together
 LANES = 1024  # windows per numpy step
-SAMPLE_PER_LABEL = 400  # expected labelled rows per language that the fit reads
+SAMPLE_PER_LABEL = 400  # expected labelled rows per language that the fit reads, fewer beyond SAMPLE_LABELS languages
 SAMPLE_CHARS = 512  # characters of each that the fit reads, from a place that depends on a hash
-MAX_LABELS = 128  # languages the fit keeps, the most frequent ones
+SAMPLE_LABELS = 128  # languages from which on they share one bound on the sample
 PAD = 256
 
 
@@ -197,22 +197,31 @@ def label_bytes(net: Network, text: str) -> list[str]:
 
 
 def learn(documents: DataFrame, fold: Column, text: str = "text", label: str = "lang", key: str = "doc_id") -> Network:
-    """Fit on rows where ``fold`` holds and the label is known.
+    """Fit on rows where ``fold`` holds and the label is known, for every label there is.
 
     The fit reads about SAMPLE_PER_LABEL rows of each language, chosen by a hash of the key, and of
-    each SAMPLE_CHARS characters; the driver holds at most twice that, for at most MAX_LABELS languages.
+    each SAMPLE_CHARS characters; the driver holds at most twice that for SAMPLE_LABELS languages. If
+    there are more, the share of each shrinks, but each keeps the row whose hash is its smallest.
     """
     rows = documents.filter(fold & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()
+    at = F.xxhash64(key)
+    drawn = F.pmod(at, F.lit(1 << 30)) / float(1 << 30)
+    lettered = F.when(F.col(text).rlike(r"\p{L}"), drawn)
+    counts = rows.groupBy(label).agg(F.count("*").alias("count"), F.coalesce(F.min(lettered), F.min(drawn)).alias("least")).collect()
     if not counts:
         return fit_network([], [])
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row[label], SAMPLE_PER_LABEL / row["count"])])
-    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    each = min(SAMPLE_PER_LABEL, SAMPLE_PER_LABEL * SAMPLE_LABELS / len(counts))
+    spec = T.StructType([T.StructField("_label", T.StringType()), T.StructField("_share", T.DoubleType()), T.StructField("_least", T.DoubleType())])
+    shares = documents.sparkSession.createDataFrame([(row[label], each / row["count"], row["least"]) for row in counts], spec)
     room = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0))
     piece = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(1), key), room + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    sample = rows.filter(drawn < F.element_at(share, F.col(label)))
-    found = sample.select(F.col(label).alias("label"), piece.alias("piece"), F.xxhash64(key).alias("at"))
-    picked = found.orderBy("at", "label", "piece").limit(2 * SAMPLE_PER_LABEL * len(counts)).collect()
+    first = (drawn == F.col("_least")).alias("first")
+    sample = rows.join(F.broadcast(shares), F.col(label) == F.col("_label")).filter((drawn < F.col("_share")) | (drawn == F.col("_least")))
+    found = sample.select(F.col(label).alias("label"), piece.alias("piece"), at.alias("at"), first)
+    # Of rows without a key, which have one hash, a label keeps one as its first.
+    firsts = found.filter("first").groupBy("label").agg(F.min(F.struct("at", "piece")).alias("p")).select("label", "p.piece", "p.at", F.lit(True).alias("first"))
+    others = found.filter("not first").orderBy("at", "label", "piece").limit(int(2 * each * len(counts)))
+    picked = sorted(firsts.union(others).collect(), key=lambda r: (r["at"], r["label"], r["piece"]))
     return fit_network([r["piece"] for r in picked], [r["label"] for r in picked])
 
 

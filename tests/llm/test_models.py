@@ -60,6 +60,24 @@ def test_language_held_out(spark, documents, odd_documents, empty_documents):
     assert net.labels[int(one.argmax())] == max(set(language_id.label_bytes(net, text)), key=language_id.label_bytes(net, text).count)
 
 
+def test_every_language_is_fitted(spark):
+    """150 languages, the rarest with one row: all are labels of the network and in a sample of bounded size."""
+    rows = [(i, chr(0x4E00 + i % 150) * 40, f"l{i % 150:03d}") for i in range(3000)] + [(5000, "\u0531" * 40, "rare"), (None, "\u0562" * 40, "keyless"), (None, "\u0562" * 9, "keyless")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.learn(docs, F.lit(True))
+    assert net.labels == sorted({r[2] for r in rows})
+
+
+def test_a_rare_language_is_found(spark, monkeypatch):
+    """With more languages than share the full sample, the rarest still gets its own label."""
+    monkeypatch.setattr(language_id, "SAMPLE_LABELS", 2)
+    words = {"aa": "ababab abab ", "bb": "cdcdcd cdcd ", "rare": "xyxyxy xyxy "}
+    rows = [(i, words["aa" if i % 2 else "bb"] * 8, "aa" if i % 2 else "bb") for i in range(400)] + [(1000, words["rare"] * 8, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict(docs, language_id.learn(docs, F.lit(True)))
+    assert found.filter("lang != lang_pred").count() == 0
+
+
 def test_quality_held_out(documents, labels, odd_documents, empty_documents):
     weights = quality_mil.learn(documents, labels, crc_remainder(F.col("doc_id"), 5) != 0)
     held = quality_mil.predict(documents, weights).filter(crc_remainder(F.col("doc_id"), 5) == 0).join(labels, "doc_id")
