@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and bootstrapped extraction from contexts. Column expressions only.
 
 Seeds are what the fixed patterns find: email, ip, card and phone. Candidates look like one of these
-but fail its pattern or its check (a card number with a wrong check digit, a phone number without a
-plus, an address without a domain, four number groups that are no address).
+but fail its pattern or its check (a card number with a wrong check digit, 7 to 15 digits without a
+plus, with or without separators, an address without a domain, four number groups that are no
+address). One run may be a candidate of several kinds; the first accepted kind as listed gets it.
 
 Lexical patterns are the words around an instance: the word before, the word after, both, and the two
 words before. Patterns and instances form a graph. In each round a pattern's score is the summed score
@@ -10,6 +11,11 @@ of its different instances over their number plus one, if enough seeds support i
 score is the noisy-or of its patterns. A candidate occurrence becomes a span if one of its patterns
 ends with at least ``ACCEPT``. Base spans stay, and no candidate overlaps one.
 
+Accepted patterns also read what no candidate's shape has foreseen: a slot is all from the first to
+the last digit between two words that have no letter between them. If the two words are an accepted
+both-sided pattern and the slot has as many digits as the kind can have (``SLOT_DIGITS``), it is a
+span. Slots do not take part in the scoring. An address has letters, so it has no slot.
+
 Regular expressions are written so that no text makes them slow or deep: runs start where the run
 starts (or where the match before ended) and are possessive, which changes no match.
 
@@ -29,6 +35,7 @@ ROUNDS = 3
 SUPPORT = 5  # different seeds that a pattern needs
 ACCEPT = 0.8  # score from which a pattern finds new identifiers
 CONTEXT = 48  # characters on either side that are read for words
+SLOT_DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 BLOCK = 256  # running sums are made block by block
 # Fixed patterns of the four kinds.
 BASE = {
@@ -42,8 +49,9 @@ LOOSE = {
     "email": r"(?:\G|(?<![^\s@]))[^\s@]++@[^\s@]++",
     "ip": r"(?:\G|(?<![0-9.]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
-    "phone": r"(?<![0-9+(])[0-9(][0-9]*+[\x20().0-9-]+[0-9]",
+    "phone": r"(?<![0-9+(])[0-9(](?:[\x20().-]*+[0-9])++",
 }
+_SLOT = r"(?:\G|(?<![0-9]))[0-9]++(?:[^\p{L}0-9]++[0-9]++)*+"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -72,7 +80,7 @@ def _likely(kind: str, value: Column) -> Column:
     if kind == "card":
         return size.between(13, 19)
     if kind == "phone":
-        return size.between(9, 12) & value.rlike("[\\x20().-]")
+        return size.between(7, 15)
     return F.lit(True)
 
 
@@ -123,23 +131,29 @@ def base_spans(documents: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def candidate_spans(documents: DataFrame, text: str, base: str, out: str) -> DataFrame:
-    """``documents`` with ``out``: look-alikes that overlap no base span and no candidate of an earlier kind."""
+    """``documents`` with ``out``: look-alikes that overlap no base span."""
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(_SPAN)
     digit = body.rlike("[0-9]")
     may = {
         "email": body.contains("@"), "ip": digit & body.rlike(r"[0-9]\.[0-9]"),
-        "card": digit & body.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": digit & body.rlike(r"[0-9][\x20().0-9-]{7,}[0-9]"),
+        "card": digit & body.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": digit & body.rlike(r"[0-9](?:[\x20().-]*+[0-9]){6}"),
     }
     rows = documents.withColumn(out, none)
     for k in KINDS:
-        found = F.filter(
-            _matches(body, LOOSE[k], k, lambda v, k=k: _likely(k, v)), lambda s: _apart(s, F.col(base)) & _apart(s, F.col(out)),
-        )
+        found = F.filter(_matches(body, LOOSE[k], k, lambda v, k=k: _likely(k, v)), lambda s: _apart(s, F.col(base)))
         rows = rows.withColumn(out, F.when(may[k], F.concat(F.col(out), found)).otherwise(F.col(out)))
     return rows
 
 
+def slot_spans(documents: DataFrame, text: str, base: str, out: str) -> DataFrame:
+    """``documents`` with ``out``: runs without letters from digit to digit that overlap no base span."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    least, most = min(lo for lo, _ in SLOT_DIGITS.values()), max(hi for _, hi in SLOT_DIGITS.values())
+    found = _matches(body, _SLOT, "slot", lambda v: F.length(_digits(v)).between(least, most))
+    return documents.withColumn(out, F.when(body.rlike("[0-9]"), F.filter(found, lambda s: _apart(s, F.col(base)))).otherwise(F.array().cast(_SPAN)))
+
+
 def _patterns(text: Column, span: Column) -> Column:
     """The lexical patterns around a span."""
     before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), span["start"])))
@@ -174,22 +188,36 @@ def find(documents: DataFrame, text: str = "text", carry_text: bool = True) -> D
     kept = [c for c in documents.columns if c not in names and (carry_text or c != text)]
     rows = documents.select(*dict.fromkeys([*kept, text])).withColumn("_row", F.monotonically_increasing_id())
     rows = candidate_spans(base_spans(rows, text, "base_spans"), text, "base_spans", "_near")
+    rows = slot_spans(rows, text, "base_spans", "_slots")
     body = F.coalesce(F.col(text), F.lit(""))
     mark = lambda spans, seed: F.transform(spans, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(seed).alias("seed"), _patterns(body, s).alias("patterns")))
     rows = rows.withColumn("_seen", F.concat(mark(F.col("base_spans"), 1), mark(F.col("_near"), 0)))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    rows = rows.withColumn("_slots", F.transform("_slots", lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.length(_digits(s["value"])).alias("digits"),
+        F.size(F.split(s["value"], "[^0-9]+")).alias("groups"), F.get(_patterns(body, s), F.lit(2)).alias("pattern"))))
     rows = rows.withColumn("base_spans", F.transform("base_spans", plain)).drop("_near", *([] if carry_text else [text]))
     rows = stage(rows, "pii-rows")
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
     accepted = learn_patterns(seen)
     near = seen.filter("seed = 0").select("_row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
-    new = near.join(accepted, ["kind", "pattern"], "left_semi").select("_row", "kind", "start", "end").distinct()
+    new = near.join(accepted, ["kind", "pattern"], "left_semi").select("_row", "kind", "start", "end")
+    slots = rows.select("_row", F.explode("_slots").alias("s")).select("_row", "s.*")
+    fits = [(F.col("kind") == k) & F.col("digits").between(*SLOT_DIGITS[k]) & ((F.col("groups") == 4) if k == "ip" else F.lit(True)) for k in SLOT_DIGITS]
+    both = accepted.filter(F.col("pattern").rlike(r"^B \p{L}+ \p{L}+$")).select("kind", "pattern")
+    read = slots.join(both, "pattern").filter(fits[0] | fits[1] | fits[2]).select("_row", "kind", "start", "end")
+    new = new.union(read).distinct()
     new = new.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_new"))  # candidates of one text
     rank = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
-    keyed = F.transform(F.concat("base_spans", F.coalesce("_new", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda s: F.struct(
+    # Of accepted spans that overlap, the first kind as listed stays, and of one kind the longest, then the first.
+    given = F.array_sort(F.transform(F.coalesce("_new", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(
+        F.element_at(rank, s["kind"]).alias("rank"), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    chosen = F.aggregate(given, none, lambda done, s: F.when(_apart(s, done), F.concat(done, F.array(plain(s)))).otherwise(done))
+    keyed = F.transform(F.concat("base_spans", chosen), lambda s: F.struct(
         F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    out = rows.drop("_seen").join(new, "_row", "left")
+    out = rows.drop("_seen", "_slots").join(new, "_row", "left")
     return out.withColumn("all_spans", F.transform(F.array_sort(keyed), plain)).select(*kept, *names)
 
 

@@ -318,6 +318,19 @@ def test_bootstrapping(spark):
     assert masked[100] == "please call me at <PHONE> today" and masked[3] == "please call me at <PHONE> today" and masked[101] == hidden[1][1]
 
 
+def test_numbers_in_supported_contexts(spark):
+    """Plain digits, local numbers, long numbers and unforeseen separators are found where the context is, and nowhere else."""
+    seeds = [(i, f"please call me at +1 (555) 010-{1000 + i} today") for i in range(12)]
+    values = ["5550107777", "5550177", "555-0177", "55501777", "555010777712345", "555/010/7777"]
+    hidden = [(100 + i, f"please call me at {v} today") for i, v in enumerate(values)]
+    other = [(200 + i, f"order number {v} was shipped") for i, v in enumerate(values)] + [(300, "please call me at 9 today"), (301, "please call me at noon today")]
+    rows = spark.createDataFrame(seeds + hidden + other, "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["all_spans"]] for r in pii.find(rows).collect()}
+    for i, v in enumerate(values):
+        assert found[100 + i] == [("phone", 18, 18 + len(v))], v
+    assert not any(found[k] for k, _ in other)
+
+
 def test_mask(documents):
     masked = pii.mask(documents)
     assert masked.columns == documents.columns and masked.count() == documents.count()
