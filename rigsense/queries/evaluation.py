@@ -157,9 +157,7 @@ add("evaluation_summary", lambda s, p: offline.evaluation_summary(_frame(s, p),
     F.col("priority_alerts.rows").alias("priority_alert_rows"), F.to_json("top_priority_miners").alias("top_priority_miners"),
     F.to_json("classification_report").alias("classification_report"), F.to_json("policy_backtest").alias("policy_backtest")))
 
-# --- models; sizes below the defaults of the operators keep a check run short, the data is whole
-SMALL = {"random_forest": lambda: tr.forest(trees=20, depth=8), "gradient_boosting": lambda: tr.boosted(rounds=10, depth=4)}
-
+# --- models, of the operators' own sizes
 
 def _labelled(s, p):
     """KPI rows labelled with a failure within the next twelve rows of the device."""
@@ -194,13 +192,13 @@ def _prepared(s, p):
 
 add("ml_preprocess", _prepared)
 add("train_logreg", _train_one(lambda n: tr.logistic(float(n))))
-add("train_rf", _train_one(lambda n: SMALL["random_forest"]()))
-add("train_gbt", _train_one(lambda n: SMALL["gradient_boosting"]()))
+add("train_rf", _train_one(lambda n: tr.forest()))
+add("train_gbt", _train_one(lambda n: tr.boosted()))
 
 
 def _compare(s, p):
     feats = _features(s, p)
-    return feats, tr.train_and_compare(feats, {"logistic_regression": lambda: tr.logistic(float(feats.count())), **SMALL})
+    return feats, tr.train_and_compare(feats)
 
 
 add("model_select", lambda s, p: tr.model_select(_compare(s, p)[1]["comparison"]))
@@ -209,7 +207,7 @@ add("model_select", lambda s, p: tr.model_select(_compare(s, p)[1]["comparison"]
 def _importance(s, p):
     feats = _features(s, p)
     w = sc.class_weights(feats).first()
-    return tr.feature_importance(tr.fit(tr.with_weights(feats, w), SMALL["random_forest"]()), s)
+    return tr.feature_importance(tr.fit(tr.with_weights(feats, w), tr.forest()), s)
 
 
 add("feature_importance", _importance)
@@ -222,8 +220,7 @@ n_rows >= 500 AND n_miners >= 10 AND span_hours >= 72 AS retrain FROM (SELECT co
 
 def _retrain_then_score(s, p, scored: bool):
     path = work_dir(s, "artifact")
-    n = v.kpi(s, p).count()
-    verdict = tr.retrain_job(_labelled(s, p), v.AS_OF, path, 31, models={"logistic_regression": lambda: tr.logistic(float(n))})
+    verdict = tr.retrain_job(_labelled(s, p), v.AS_OF, path, 31)
     if not scored:
         return verdict
     rows = tr.score_model(_labelled(s, p), v.AS_OF - timedelta(hours=12), path, lookback_hours=24 * 7)
