@@ -1,16 +1,17 @@
 """Quality rules and hashed n-gram log-likelihood ratios, all as column expressions.
 
 Words are runs without white space. Grams are words and pairs of neighbouring words, known by 64-bit
-hashes. Each gram is counted over all documents (raw) and over trusted documents; these counts grow
-with the corpus and stay in a written table. A gram's weight has two parts. The first is the log of
-the trusted over the raw probability of its class, one of ``BUCKETS`` by hash. The second corrects
-the class to the gram: the log of its trusted count over the count that its raw count and its class
-let expect, both plus ``PRIOR``. So a gram seen often has the ratio of its own counts, and one seen
-rarely keeps to its class, whatever the size of the corpus.
-
-A text's ratio is the mean weight of its grams; a text is kept if it passes the base rules and its
-ratio is at least ``MIN_RATIO``. The ``HOT`` most frequent grams are looked up in arrays of fixed size,
-so that no frequent gram makes a large join partition; all others are joined by hash.
+hashes. Both multinomials, of trusted documents and of the raw corpus, have the same outcomes: grams fall
+into classes by hash, and a class whose count is ``LEADER`` times the mean or more is split into its most
+frequent gram, if that alone has such a count, and the rest. The number of classes grows with the square
+root of the corpus, as the number of grams of a given share does, so a gram that is frequent always has a
+probability of its own and the others share theirs with few frequent ones. All counts are exact and over all
+documents: one pass counts classes, one the grams of the large classes only, one the trusted documents.
+
+A weight is the log of trusted over raw probability, the trusted counts smoothed by ``PRIOR`` raw
+probabilities per class. A text's ratio is the mean weight of its grams; a text is kept if it passes the
+base rules and its ratio is at least ``MIN_RATIO``. Weights are looked up in arrays over ``BLOCK`` classes; a
+larger model takes one pass over the texts per block, so what a task holds is bounded.
 
 Defined results: a null text has no words, fails the base rules and has ratio 0. Without trusted
 documents all ratios are 0. Repeated rows count each; an empty table gives an empty result. Columns
@@ -24,16 +25,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rigsense.llm.base import new_name, stage
 
-BUCKETS = 1 << 14  # classes of grams
+CLASSES = 8  # classes per square root of a byte of text, rounded up to a power of two
+LEADER = 8  # times the mean count of a class that a gram needs for a probability of its own
+BLOCK = 1 << 19  # classes whose weights a task, and the driver, hold at once
 MIN_RATIO = -0.1  # nats per word or pair: about 0.9 times as likely among trusted texts as in the corpus
-SMOOTHING = 1.0  # added to each bucket's count
-PRIOR = 1.0  # added to a gram's trusted count and to the expected one
-HOT = 1 << 13  # grams that are not joined
-SLOTS = (1 << 14, 1 << 13)  # places of the two arrays of hot grams
+PRIOR = 1.0  # trusted grams per class, dealt like the raw ones, that are added to the trusted counts
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _WHITE = "[\\x20\\x09-\\x0D]+"
@@ -42,9 +41,8 @@ _SYMBOLS = "[#*$%&|<>]"
 
 @dataclass
 class Weights:
-    buckets: list[float]  # log of trusted over raw probability of each class
-    hot: list[tuple[int, float]]  # the most frequent grams and their corrections
-    grams: DataFrame | None  # gram, correction: all counted grams; None without trusted documents
+    classes: int
+    blocks: list[DataFrame]  # one row each: leader (a gram or null), own and rest (weights), arrays over BLOCK classes
 
 
 def with_words(documents: DataFrame, text: str, words: str, hashes: str, pairs: str) -> DataFrame:
@@ -62,10 +60,6 @@ def _skip(array: str, first: int, fewer: int) -> Column:
     return F.slice(array, first + 1, F.greatest(F.size(array) - fewer, F.lit(0)))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(gram, F.lit(BUCKETS)).cast("int")
-
-
 def measure(documents: DataFrame, text: str = "text", extra=None) -> DataFrame:
     """``documents`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
@@ -95,88 +89,96 @@ def measure(documents: DataFrame, text: str = "text", extra=None) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop(words, hashes, pairs, grams, lines, order)
 
 
+def _class(gram: Column, classes: int) -> Column:
+    return F.pmod(gram, F.lit(classes)).cast("int")
+
+
+def _grams(documents: DataFrame, text: str) -> DataFrame:
+    rows = with_words(documents.select(F.col(text).alias("_text")), "_text", "_words", "_hashes", "_pairs")
+    return rows.select(F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
+
+
+def _arrays(rows: DataFrame, classes: int, columns: dict[str, Column], name: str) -> list[DataFrame]:
+    """``columns`` of ``rows`` (one per class at most) as arrays by class, one written row per block."""
+    spark, made = rows.sparkSession, []
+    for lo in range(0, classes, BLOCK):
+        ids = spark.range(lo, min(lo + BLOCK, classes)).withColumn("class", F.col("id").cast("int"))
+        listed = ids.join(rows, "class", "left").agg(F.array_sort(F.collect_list(F.struct("id", *[c.alias(n) for n, c in columns.items()]))).alias("v"))
+        made.append(stage(listed.select(*[F.col("v").getField(n).alias(n) for n in columns]), name))
+    return made
+
+
 def log_ratios(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> Weights:
-    """The weights of all grams of the documents.
+    """The weights of all grams of the documents; ``trusted`` lists the keys of trusted documents.
 
-    ``trusted`` lists the keys of trusted documents. Both counts come from one pass over all documents
-    and are written; the driver gets one row per bucket and the most frequent grams.
+    Texts are moved once, to meet the trusted keys.
     """
-    marks = trusted.select(F.col(key)).distinct().withColumn("trusted", F.lit(1))
-    rows = documents.select(F.col(key), F.col(text)).join(marks.hint("merge"), key, "left")  # one plan for every size
-    rows = with_words(rows, text, "_words", "_hashes", "_pairs")
-    grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
-    counts = stage(grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good")), "quality-grams")
-    sums = counts.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = sum(r["raw"] for r in sums), sum(r["good"] for r in sums)
-    weights, share = [0.0] * BUCKETS, [0.0] * BUCKETS
-    if not good:
-        return Weights(weights, [], None)
-    extra = SMOOTHING * BUCKETS
-    for r in sums:
-        weights[r["bucket"]] = math.log((r["good"] + SMOOTHING) / (good + extra)) - math.log((r["raw"] + SMOOTHING) / (raw + extra))
-        share[r["bucket"]] = r["good"] / r["raw"]
-    expected = F.col("raw") * F.get(_constant(share), _bucket(F.col("gram")))
-    table = counts.select("gram", "raw", F.log((F.col("good") + PRIOR) / (expected + PRIOR)).alias("correction"))
-    hot = table.orderBy(F.desc("raw"), "gram").limit(HOT).collect()
-    return Weights(weights, [(r["gram"], r["correction"]) for r in hot], table.select("gram", "correction"))
-
-
-def _constant(values: list, kind: str = "double") -> Column:
-    """An array that is folded into one constant."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
-
-
-class _Hot:
-    """Frequent grams by place: each in the first array if its place is free there, else in the second, else joined."""
-
-    def __init__(self, grams: list[tuple[int, float]]):
-        keys = [[place + 1 for place in range(n)] for n in SLOTS]  # a key that does not belong there: free
-        values = [[0.0] * n for n in SLOTS]
-        for gram, value in grams:
-            for k, place in enumerate((gram % SLOTS[0], (gram >> 32) % SLOTS[1])):
-                if keys[k][place] == place + 1:
-                    keys[k][place], values[k][place] = gram, value
-                    break
-        self._keys, self._values = [_constant(x, "bigint") for x in keys], [_constant(x) for x in values]
-
-    def _at(self, gram: Column) -> list[tuple[Column, Column]]:
-        places = [F.pmod(gram, F.lit(SLOTS[0])).cast("int"), F.pmod(F.shiftright(gram, 32), F.lit(SLOTS[1])).cast("int")]
-        return [(F.get(k, p) == gram, F.get(v, p)) for k, v, p in zip(self._keys, self._values, places)]
-
-    def has(self, gram: Column) -> Column:
-        (first, _), (second, _) = self._at(gram)
-        return first | second
-
-    def value(self, gram: Column) -> Column:
-        (first, one), (second, two) = self._at(gram)
-        return F.when(first, one).when(second, two).otherwise(0.0)
-
-
-def _joined(documents: DataFrame, weights: Weights, hot: _Hot, text: str, row: str, value: str) -> DataFrame:
-    """The mean correction of each row's grams that are not hot. Rows have equal ids only if they are equal."""
-    rows = with_words(documents.select(row, text), text, "_words", "_hashes", "_pairs")
-    grams = rows.select(row, F.explode(F.concat("_hashes", "_pairs")).alias("gram")).filter(~hot.has(F.col("gram")))
-    table = weights.grams.filter(~hot.has(F.col("gram")))
-    found = grams.join(table.hint("merge"), "gram", "left")
-    return found.groupBy(row).agg(F.avg(F.coalesce("correction", F.lit(0.0))).alias(value))
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    classes = 1 << max(10, math.ceil(math.log2(CLASSES * math.sqrt(size) + 1)))
+    of = _class(F.col("gram"), classes)
+    raw = stage(_grams(documents, text).groupBy(of.alias("class")).agg(F.count("*").alias("raw")), "quality-classes")
+    all_raw = raw.agg(F.sum("raw")).first()[0] or 0
+    cut = LEADER * all_raw / classes
+    # Classes that may have a leader: at most one in LEADER.
+    large = _arrays(raw.filter(F.col("raw") >= cut), classes, {"large": F.col("raw").isNotNull()}, "quality-large")
+    leaders = None
+    for lo, block in zip(range(0, classes, BLOCK), large):
+        grams = _grams(documents, text).filter(F.get(block.select("large").scalar(), of - lo))
+        found = grams.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= cut)
+        leaders = found if leaders is None else leaders.unionByName(found)
+    best = leaders.groupBy(of.alias("class")).agg(F.max(F.struct("n", "gram")).alias("best")).select("class", "best.n", "best.gram")
+    led = stage(raw.join(best, "class", "left"), "quality-leaders")
+    keys = _arrays(led, classes, {"leader": F.col("gram")}, "quality-keys")
+    known = trusted.select(F.col(key)).distinct()
+    good = stage(documents.join(known.hint("merge"), key, "left_semi").select(text), "quality-trusted")
+    counts = None
+    for lo, block in zip(range(0, classes, BLOCK), keys):
+        grams = _grams(good, text).filter((of >= lo) & (of < lo + BLOCK))
+        own = F.coalesce(F.get(block.select("leader").scalar(), of - lo) == F.col("gram"), F.lit(False))
+        found = grams.groupBy(of.alias("class")).agg(F.sum(F.when(own, 1).otherwise(0)).alias("good_own"), F.sum(F.when(own, 0).otherwise(1)).alias("good_rest"))
+        counts = found if counts is None else counts.unionByName(found)
+    table = stage(led.join(counts, "class", "left"), "quality-counts")
+    all_good = table.agg(F.sum(F.col("good_own") + F.col("good_rest"))).first()[0] or 0
+    prior = PRIOR * classes
+
+    def weight(raw_count: Column, good_count: Column) -> Column:
+        share = (F.coalesce(raw_count, F.lit(0)) + 1.0) / float(all_raw + 2 * classes)
+        return F.log((F.coalesce(good_count, F.lit(0)) + share * prior) / (share * (all_good + prior)))
+
+    return Weights(classes, _arrays(table, classes, {
+        "leader": F.col("gram"), "own": weight(F.col("n"), F.col("good_own")),
+        "rest": weight(F.col("raw") - F.coalesce("n", F.lit(0)), F.col("good_rest")),
+    }, "quality-weights"))
+
+
+def _constant(values: list, kind: str, form: str) -> Column:
+    """An array that is folded into one constant: functions over arrays accept no scalar subquery."""
+    return F.split(F.lit(",".join([format(v, form) for v in values])), ",").cast(f"array<{kind}>")
 
 
 def judge(documents: DataFrame, weights: Weights, text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``documents`` with the base measures, log_ratio and kept."""
-    documents = documents.drop("log_ratio", "kept")
-    table, hot = _constant(weights.buckets), _Hot(weights.hot)
-    row, rest, mean = (new_name(c) for c in ("row", "rest", "mean"))
-    add = lambda s, gram: s + F.get(table, _bucket(gram)) + hot.value(gram)
-    cold = lambda grams: F.size(F.filter(grams, lambda g: ~hot.has(g)))
-    total = {
-        "log_ratio": lambda hashes, pairs: F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), add), add),
-        rest: lambda hashes, pairs: cold(hashes) + cold(pairs),
-    }
-    plain = [f.name for f in documents.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    marked = documents.withColumn(row, F.xxhash64(*plain))
-    rows = measure(marked, text, total)
-    if weights.grams is not None:
-        rows = rows.join(_joined(marked, weights, hot, text, row, mean).hint("merge"), row, "left")
-        rows = rows.withColumn("log_ratio", F.col("log_ratio") + F.col(rest) * F.coalesce(mean, F.lit(0.0)))
+    before = new_name("before")
+    rows = documents.drop("log_ratio", "kept").withColumn(before, F.lit(0.0))
+
+    def sum_of(lo: int, block: DataFrame):
+        row = block.first()
+        # No gram of a class is the number of the next class: it stands for no leader.
+        leader = _constant([lo + i + 1 if g is None else g for i, g in enumerate(row["leader"])], "bigint", "d")
+        own, rest = (_constant(row[c], "double", ".9g") for c in ("own", "rest"))
+
+        def add(total: Column, gram: Column) -> Column:
+            at = _class(gram, weights.classes) - lo
+            value = F.when(F.get(leader, at) == gram, F.get(own, at)).otherwise(F.get(rest, at))
+            return total + F.coalesce(value, F.lit(0.0))  # null: a class of another block
+
+        return lambda hashes, pairs: F.aggregate(pairs, F.aggregate(hashes, F.col(before), add), add)
+
+    places = list(zip(range(0, weights.classes, BLOCK), weights.blocks))
+    for lo, block in places[:-1]:
+        names = [new_name(c) for c in ("words", "hashes", "pairs")]
+        summed = sum_of(lo, block)(*(F.col(c) for c in names[1:]))
+        rows = stage(with_words(rows, text, *names).withColumn(before, summed).drop(*names), "quality-sums")
+    rows = measure(rows, text, {"log_ratio": sum_of(*places[-1])}).drop(before)
     rows = rows.withColumn("log_ratio", F.when(F.col("n_words") > 0, F.col("log_ratio") / (2 * F.col("n_words") - 1)).otherwise(0.0))
-    return rows.drop(row, rest, mean).withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= min_ratio))
