@@ -100,9 +100,11 @@ def exact_quantiles(
     a sketch first brackets each quantile, then one more pass counts the rows below the
     bracket and keeps only the values inside it, so no task sees more than a sliver of a
     column. The sketch only decides where to look; the answer is exact, and a bracket
-    that misses raises an error instead of returning a near value.
+    that misses raises an error instead of returning a near value. NaN is a missing value.
     """
     by = list(by)
+    kinds = dict(df.select(*[c.alias(n) for n, (c, _) in wanted.items()]).dtypes)
+    wanted = {n: (F.when(~F.isnan(c), c) if kinds[n] in ("float", "double") else c, p) for n, (c, p) in wanted.items()}
     if bracketed is None:
         bracketed = not fits_one_task(df)
     if not bracketed:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
@@ -21,6 +21,7 @@ from rigsense.operators import evaluate, scoring
 from rigsense.operators.features import feature_set, serving_snapshot
 from rigsense.operators.fleet import with_latest_context
 from rigsense.operators.scale import materialize
+from rigsense.plans.boosting import HistogramBoosting
 
 CONTEXT = [
     "timestamp", "miner_id", "operating_mode", S.TARGET, "asic_temperature_c",
@@ -71,19 +72,17 @@ def forest(trees: int = 300, depth: int = 12, leaf: int = 5) -> RandomForestClas
         seed=42, maxMemoryInMB=512)
 
 
-def boosted(rounds: int = 400, depth: int = 8, rate: float = 0.05) -> GBTClassifier:
-    return GBTClassifier(
-        weightCol="scaled_weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, maxMemoryInMB=512)
+def boosted(rounds: int = 400, depth: int = 8, rate: float = 0.05) -> HistogramBoosting:
+    return HistogramBoosting(rounds, depth, rate, weight="scaled_weight")
 
 
 def fit(train: DataFrame, estimator) -> PipelineModel:
     return Pipeline(stages=[*prepare_stages(train), estimator]).fit(train)
 
 
-def with_score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``risk_score``; expected input columns that are absent are added as NULL."""
-    absent = [c for c in S.NUMERIC_FEATURES if c not in df.columns]
+def with_score(model: PipelineModel, df: DataFrame, columns: Sequence[str] = tuple(S.NUMERIC_FEATURES)) -> DataFrame:
+    """Add ``risk_score``; columns that the model was fitted on and ``df`` lacks are added as NULL."""
+    absent = [c for c in columns if c not in df.columns and c not in S.CATEGORICAL_FEATURES]
     full = df.withColumns({c: F.lit(None).cast("double") for c in absent})
     if "operating_mode" not in full.columns:
         full = full.withColumn("operating_mode", F.lit(None).cast("string"))
@@ -158,7 +157,7 @@ def feature_importance(model: PipelineModel, spark: SparkSession, top: int = 25)
 
 
 def save_model(result: dict, features: DataFrame, path: str, as_of: datetime) -> None:
-    """The winning pipeline and one metadata row."""
+    """The winning pipeline, the comparison of all models, and one metadata row."""
     result["models"][result["best"]].write().overwrite().save(f"{path}/model")
     meta = scoring.cooling_ratio(features).withColumns({
         "model_name": F.lit(result["best"]), "threshold": lit_d(result["threshold"]),
@@ -166,6 +165,12 @@ def save_model(result: dict, features: DataFrame, path: str, as_of: datetime) ->
         "target_column": F.lit(S.TARGET), "trained_at": F.lit(as_of),
     })
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    result["comparison"].coalesce(1).write.mode("overwrite").parquet(f"{path}/comparison")
+
+
+def load_comparison(spark: SparkSession, path: str) -> DataFrame:
+    """The model comparison of a stored run."""
+    return spark.read.parquet(f"{path}/comparison")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
@@ -184,6 +189,7 @@ def score_model(
         try:
             model, meta = load_model(kpi.sparkSession, path)
             cooling_ratio = max(float(meta.get("cooling_power_ratio", cooling_ratio)), 0.0)
+            columns = [c for c in meta.get("feature_columns", "").split(",") if c] or S.NUMERIC_FEATURES
         except AnalysisException as error:  # only an artifact that is not there
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -193,7 +199,7 @@ def score_model(
         (F.col("timestamp") >= F.lit(as_of - timedelta(hours=lookback_hours))) & (F.col("timestamp") <= F.lit(as_of)))
     snapshot = with_latest_context(serving_snapshot(recent, cooling_ratio=cooling_ratio), recent)
     score = F.col("risk_score")
-    return with_score(model, snapshot).withColumns({
+    return with_score(model, snapshot, columns).withColumns({
         "risk_band": scoring.risk_band(score, S.BANDS_WORKER), "predicted_failure": score >= lit_d(threshold)})
 
 

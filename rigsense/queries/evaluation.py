@@ -196,12 +196,19 @@ add("train_rf", _train_one(lambda n: tr.forest()))
 add("train_gbt", _train_one(lambda n: tr.boosted()))
 
 
-def _compare(s, p):
-    feats = _features(s, p)
-    return feats, tr.train_and_compare(feats)
+_RUNS: dict[tuple[str, str], tuple[str, DataFrame]] = {}  # (application, tables) -> artifact folder and decision
+
+
+def _stored_run(s, p):
+    """One training run over the tables, stored; selection, retraining and scoring read it."""
+    key = (s.sparkContext.applicationId, p)
+    if key not in _RUNS:
+        path = work_dir(s, "artifact")
+        _RUNS[key] = path, materialize(tr.retrain_job(_labelled(s, p), v.AS_OF, path, 31), "decision")
+    return _RUNS[key]
 
 
-add("model_select", lambda s, p: tr.model_select(_compare(s, p)[1]["comparison"]))
+add("model_select", lambda s, p: tr.model_select(tr.load_comparison(s, _stored_run(s, p)[0])))
 
 
 def _importance(s, p):
@@ -218,17 +225,13 @@ n_rows >= 500 AND n_miners >= 10 AND span_hours >= 72 AS retrain FROM (SELECT co
     ["kpi"], ["span_hours"])
 
 
-def _retrain_then_score(s, p, scored: bool):
-    path = work_dir(s, "artifact")
-    verdict = tr.retrain_job(_labelled(s, p), v.AS_OF, path, 31)
-    if not scored:
-        return verdict
-    rows = tr.score_model(_labelled(s, p), v.AS_OF - timedelta(hours=12), path, lookback_hours=24 * 7)
+def _scored(s, p):
+    rows = tr.score_model(_labelled(s, p), v.AS_OF - timedelta(hours=12), _stored_run(s, p)[0], lookback_hours=24 * 7)
     return rows.select("miner_id", "timestamp", "risk_score", "risk_band", "predicted_failure", "event_codes")
 
 
-add("retrain_job", lambda s, p: _retrain_then_score(s, p, False))
-add("score_model", lambda s, p: _retrain_then_score(s, p, True))
+add("retrain_job", lambda s, p: _stored_run(s, p)[1])
+add("score_model", _scored)
 add("score_model_fallback", lambda s, p: tr.score_model(v.kpi(s, p), v.AS_OF, "/nonexistent/artifact").select("miner_id", "risk_score", "risk_band", "predicted_failure"),
     """SELECT miner_id, risk_score, risk_band, predicted_failure FROM (SELECT *, row_number() OVER (PARTITION BY miner_id ORDER BY "timestamp" DESC, id DESC) AS rn
 FROM risk) AS r WHERE rn = 1""", ["risk"], ["risk_score"])

@@ -154,11 +154,11 @@ CASE WHEN automation_triggered AND id % 4 = 0 THEN TIMESTAMP '2024-01-31 00:00:0
 _esc = "replace(replace(replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 cte("pending", "SELECT *, printf('%.2f%%', risk_score * 100) AS pct FROM alerts WHERE NOT resolved AND NOT (email_sent AND telegram_sent) ORDER BY created_at DESC, id DESC LIMIT 50", ["alerts"])
 add("alert_outbox", lambda s, p: al.alert_outbox(v.alerts(s, p)).withColumn("subject", F.coalesce("subject", F.lit(""))),
-    f"""SELECT id, miner_id, 'email' AS channel, concat('[Fleet Alerts] ', upper(severity), ' - Miner ', miner_id) AS subject,
-concat('<h2 style="color:', CASE severity WHEN 'critical' THEN '#ef4444' ELSE '#f59e0b' END, '">', upper(severity), ' Alert</h2><p><b>Miner:</b> ', miner_id,
-'</p><p><b>Risk Score:</b> ', pct, '</p><p><b>Message:</b> ', {_esc}, '</p>') AS body FROM pending WHERE NOT email_sent
-UNION ALL SELECT id, miner_id, 'telegram', '', concat(CASE severity WHEN 'critical' THEN '🔴' ELSE '🟡' END, ' <b>', upper(severity), ' Alert</b>', chr(10),
-'<b>Miner:</b> <code>', miner_id, '</code>', chr(10), '<b>Risk Score:</b> <code>', pct, '</code>', chr(10), '<b>Message:</b> ', {_esc}) FROM pending WHERE NOT telegram_sent""", ["pending"])
+    f"""SELECT id, miner_id, 'email' AS channel, concat('Fleet Alerts: ', severity, ' for ', miner_id) AS subject,
+concat('<ul><li>severity: ', severity, '</li><li>device: ', miner_id, '</li><li>risk: ', pct, '</li><li>details: ', {_esc}, '</li></ul>') AS body
+FROM pending WHERE NOT email_sent
+UNION ALL SELECT id, miner_id, 'telegram', '', concat_ws(chr(10), concat('severity: ', severity), concat('device: ', miner_id), concat('risk: ', pct),
+concat('details: ', {_esc})) FROM pending WHERE NOT telegram_sent""", ["pending"])
 
 
 def _sent(s, p):

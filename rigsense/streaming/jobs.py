@@ -10,17 +10,16 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from rigsense import schema as S
 from rigsense.operators import scoring
 from rigsense.operators.alerts import alert_generate
-from rigsense.operators.kpi import efficiency, hashrate_deviation_by_mode, power_instability, te_worker
-from rigsense.operators.scale import latest_per_key
+from rigsense.operators.kpi import POWER_WINDOW, efficiency, hashrate_deviation_by_mode, power_instability, te_worker
+from rigsense.operators.scale import latest_per_key, materialize
 from rigsense.operators.tables import absent_rows, write_by_date
 
 KEY = ["miner_id", "timestamp"]
-TAIL_ROWS = 5  # earlier rows that the rolling power window needs
 
 
 def read_folder(spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -53,18 +52,26 @@ def _by_id(df: DataFrame) -> list[str]:
     return ["id"] if "id" in df.columns else []
 
 
+def _timed(batch: DataFrame, aside: str, n: int) -> DataFrame:
+    """Rows with a time; the others are written to a folder of the batch."""
+    batch.filter(F.col("timestamp").isNull()).write.mode("overwrite").parquet(f"{aside}/batch={n}")
+    return batch.filter(F.col("timestamp").isNotNull())
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Rows whose key is new into a date-partitioned table, however late they come.
 
     The keyed insert catches repeats and replays; it reads only the dates the batch touches and
-    keeps no state. Of repeats within a batch the one with the smallest id stays.
+    keeps no state. Of repeats within a batch the one with the smallest id stays. Rows without a
+    time have no key: each batch puts its own aside in ``<path>-untimed``.
     """
     schema = StructType(stream.schema.fields)
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        batch = _timed(batch, f"{path}-untimed", n)
         days = batch.select(F.to_date("timestamp").alias("event_date")).distinct()
-        stored = table_or_empty(spark, path, StructType(schema.fields).add("event_date", "date"))
+        stored = table_or_empty(spark, path, StructType([*schema.fields, StructField("event_date", DateType())]))
         scoped = stored.join(F.broadcast(days), "event_date", "left_semi")  # one row per day
         write_by_date(absent_rows(batch, scoped, KEY, _by_id(batch)), path)
 
@@ -72,33 +79,69 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 # --------------------------------------------------------------------------- KPIs
+def _near(days: DataFrame, touched: DataFrame, rows: int) -> DataFrame:
+    """Device days that a change on the touched ones concerns, from ``days`` (miner_id, event_date, n).
+
+    ``_after``: the day is touched, or holds some of the next ``rows`` rows, whose windows change. The other
+    days returned hold some of the ``rows`` rows before, which these windows read.
+    """
+    marked = days.join(touched.withColumn("_hit", F.lit(True)), ["miner_id", "event_date"], "left")
+    order = Window.partitionBy("miner_id").orderBy("event_date")  # a row per day
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    marked = marked.withColumn("_e", F.sum("n").over(order)).withColumn("_s", F.col("_e") - F.col("n"))
+    marked = marked.withColumns({
+        "_after": F.coalesce(F.col("_s") < F.max(F.when(F.col("_hit"), F.col("_e"))).over(before) + rows, F.lit(False)),
+        "_before": F.coalesce(F.col("_e") > F.min(F.when(F.col("_hit"), F.col("_s"))).over(after) - rows, F.lit(False)),
+    })
+    return marked.filter("_after or _before").select("miner_id", "event_date", "_after")
+
+
 def kpi_job(stream: DataFrame, path: str, checkpoint: str, cooling_ratio: float = S.COOLING_RATIO) -> None:
     """KPI rows for telemetry whose key has none yet; a reading that comes again is left out.
 
-    Rolling windows reach back over the batch boundary: the last rows of each device are kept
-    in a small table that each batch rewrites from the previous one. The mode medians are
-    those of the batch, which is all a batch can know.
+    A reading may come late: its rolling window takes the rows before it from the stored table, and the
+    windows of the rows after it are computed anew, so values do not depend on the order of arrival. A table
+    of row counts per device and day says which days hold these neighbours; only they are read, and only
+    dates with changed rows are rewritten. A replayed batch finds its keys stored and repairs the same rows
+    again. Mode medians are those of the batch, which is all a batch can know. Rows without a time go to
+    ``untimed``.
     """
-    schema = stream.schema
-    power = StructType([f for f in schema.fields if f.name in ("id", "miner_id", "timestamp", "asic_power_w")])
+    names = list(stream.columns)
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        cols = [f.name for f in power.fields]
-        tail = table_or_empty(spark, f"{path}/tail/{(n - 1) % 3}", power) if n else spark.createDataFrame([], power)
-        keys = StructType([f for f in schema.fields if f.name in KEY]).add("batch", "integer")
-        stored = table_or_empty(spark, f"{path}/kpi", keys).filter(F.col("batch") < n)
-        fresh = absent_rows(batch, stored, KEY, _by_id(batch))
-        marked = fresh.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)), True)
-        rolled = power_instability(marked).filter("_new").drop("_new")
+        day = F.to_date("timestamp")
+        batch = _timed(batch, f"{path}/untimed", n).withColumn("event_date", day)
         derived = {"efficiency_j_per_th", "power_instability_index", "hashrate_deviation_pct", "true_efficiency_te", S.TARGET}
-        rows = hashrate_deviation_by_mode(rolled).withColumns({
-            "efficiency_j_per_th": efficiency(), "true_efficiency_te": te_worker(cooling_ratio), S.TARGET: F.lit(0),
-        }).select(*[c for c in S.KPI_TYPES if c in derived or c in schema.names])
-        rows.write.mode("overwrite").parquet(f"{path}/kpi/batch={n}")
-        order = Window.partitionBy("miner_id").orderBy(F.col("timestamp").desc(), *[F.col(c).desc() for c in _by_id(marked)])
-        keep = marked.select(*cols).withColumn("_rn", F.row_number().over(order)).filter(f"_rn <= {TAIL_ROWS}")
-        keep.drop("_rn").write.mode("overwrite").parquet(f"{path}/tail/{n % 3}")
+        shape = power_instability(batch, split=False).withColumns({c: F.lit(None).cast(S.KPI_TYPES[c]) for c in derived if c != "power_instability_index"})
+        columns = [c for c in S.KPI_TYPES if c in derived or c in names]
+        schema = shape.select(*columns, "event_date").schema
+        stored = table_or_empty(spark, f"{path}/kpi", schema)
+        touched = batch.select("miner_id", "event_date").distinct()
+        same_days = stored.join(F.broadcast(batch.select("event_date").distinct()), "event_date", "left_semi")  # one row per day
+        fresh = materialize(absent_rows(batch, same_days, KEY, _by_id(batch)), "stream-fresh")
+
+        # Counts of the touched dates come from the rows, those of other dates from the table of counts.
+        known = table_or_empty(spark, f"{path}/days", StructType([schema["miner_id"]]).add("n", "long").add("event_date", "date"))
+        counts = same_days.select("miner_id", "event_date").unionByName(fresh.select("miner_id", "event_date")).groupBy("miner_id", "event_date").agg(F.count("*").alias("n"))
+        others = known.join(F.broadcast(batch.select("event_date").distinct()), "event_date", "left_anti").join(touched.select("miner_id").distinct(), "miner_id", "left_semi")
+        near = materialize(_near(others.unionByName(counts), touched, POWER_WINDOW - 1), "stream-near")
+
+        dates = F.broadcast(near.select("event_date").distinct())
+        inputs = ["miner_id", "timestamp", "event_date", "asic_power_w"]  # keys are unique, so no tie needs an id
+        around = stored.join(dates, "event_date", "left_semi").select(*inputs).unionByName(fresh.select(*inputs)).join(near, ["miner_id", "event_date"])
+        rolled = power_instability(around).filter("_after").select(*KEY, "power_instability_index")
+        rows = hashrate_deviation_by_mode(fresh).withColumns({
+            "efficiency_j_per_th": efficiency(), "true_efficiency_te": te_worker(cooling_ratio), S.TARGET: F.lit(0).cast(S.KPI_TYPES[S.TARGET]),
+        }).select(*[c for c in [*columns, "event_date"] if c != "power_instability_index"])
+        changed = F.broadcast(near.filter("_after").select("event_date").distinct())
+        before = stored.join(changed, "event_date", "left_semi")
+        kept = before.withColumnRenamed("power_instability_index", "_was").join(rolled, KEY, "left").withColumn(
+            "power_instability_index", F.coalesce("power_instability_index", "_was")).drop("_was")
+        content = materialize(kept.unionByName(rows.join(rolled, KEY)).select(*columns, "event_date"), "stream-kpi")
+        write_by_date(content.drop("event_date"), f"{path}/kpi", mode="overwrite")
+        sizes = content.groupBy("event_date", "miner_id").agg(F.count("*").alias("n"))
+        sizes.hint("rebalance", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{path}/days")
 
     run_available(stream, write, checkpoint)
 

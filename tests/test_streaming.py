@@ -40,7 +40,7 @@ def rows(df):
 def test_kpi_windows_reach_over_batches(spark, folder, sf_dir, tmp_path):
     jobs.kpi_job(stream(spark, folder, sf_dir), str(tmp_path), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "kpi"))
-    assert got.select("batch").distinct().count() == 3
+    assert len(list((tmp_path / "untimed").glob("batch=*"))) == 3  # a folder per batch
     cols = ["miner_id", "timestamp", "power_instability_index", "true_efficiency_te"]
     assert rows(got.select(*cols)) == rows(kpi.kpi_rows(views.clean(spark, sf_dir)).select(*cols))
 
@@ -113,3 +113,21 @@ def test_an_older_reading_keeps_the_newer_score(spark, newest_first, sf_dir, tmp
     got = jobs.current_predictions(spark, str(tmp_path)).groupBy("miner_id").agg(F.max("reading_at").alias("t"))
     newest = views.telemetry(spark, sf_dir).filter(F.col("timestamp") <= F.lit(views.AS_OF)).groupBy("miner_id").agg(F.max("timestamp").alias("t"))
     assert rows(got) == rows(newest)
+
+
+def test_late_readings_repair_their_neighbours(spark, newest_first, sf_dir, tmp_path):
+    jobs.kpi_job(stream(spark, newest_first, sf_dir), str(tmp_path / "k"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "k" / "kpi")).select("miner_id", "timestamp", "power_instability_index", "efficiency_j_per_th")
+    from rigsense.operators.kpi import kpi_rows
+
+    want = kpi_rows(views.mode_normalize(views.telemetry(spark, sf_dir))).select("miner_id", "timestamp", "power_instability_index", "efficiency_j_per_th")
+    assert rows(got) == rows(want)
+
+
+def test_rows_without_a_time_are_put_aside(spark, tmp_path):
+    src = str(tmp_path / "src")
+    df = spark.createDataFrame([(1, "a", None, 1.0), (2, "a", None, 2.0)], "id long, miner_id string, timestamp timestamp, asic_power_w double")
+    df.coalesce(1).write.parquet(src)
+    df.coalesce(1).write.mode("append").parquet(src)
+    jobs.ingest(jobs.read_folder(spark, src, df.schema, files_per_batch=1), str(tmp_path / "t"), str(tmp_path / "ck"))
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t-untimed")).collect()) == [1, 1, 2, 2]
