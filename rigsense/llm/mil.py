@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rigsense.llm.base import first_of_runs, text_bytes, word_spans
 
 SAMPLE_ROWS = 3000  # labelled documents that a fit reads
-SAMPLE_BYTES = 20_000  # longer texts are not used for fitting
+SAMPLE_CHARS = 20_000  # of a longer text the fit reads so many characters, from a place drawn by hash
 
 
 def labelled_sample(
@@ -18,12 +18,15 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents in the fold, the first by a hash of the key.
 
-    The keys are drawn from the labels alone, so that only a bounded list of keys meets the texts.
+    Only keys that have a text are drawn, and only a bounded list of keys meets the texts.
     """
     known = labels.filter(fold & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("label")).distinct()
+    known = known.join(documents.filter(F.col(text).isNotNull()).select(key).distinct(), key, "left_semi")
     drawn = known.withColumn("at", F.xxhash64(key)).orderBy("at", key, "label").limit(rows)
-    short = documents.select(key, text).filter(F.octet_length(text) <= SAMPLE_BYTES)
-    found = short.join(F.broadcast(drawn), key).select("at", "label", F.col(text).alias("text")).orderBy("at", "label", "text").limit(rows).collect()
+    room = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0))
+    piece = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(1), key), room + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    texts = documents.select(key, piece.alias("text")).filter(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(drawn), key).select("at", "label", "text").orderBy("at", "label", "text").limit(rows).collect()
     return [r["text"] for r in found], np.array([r["label"] for r in found], np.float32)
 
 
