@@ -43,7 +43,7 @@ SEED = 50  # bytes of an anchor's first rank
 MANY = 32  # pairs of one first rank in a batch from which the rest is spread
 _TIE_BITS = 20
 _PLACE = np.uint64((1 << 36) - 1)
-_PAIR, _REPEAT, _OPEN = 0, 1, 2  # kinds of rows: a pair to sort; decided as a repeat; undecided whatever comes
+_PAIR, _REPEAT, _OPEN, _SAME = 0, 1, 2, 3  # kinds of rows: a pair to sort; decided as a repeat; undecided whatever comes; not sent
 _ROW = "kind int, first long, second long, doc long, tie int, start long, count int"
 
 
@@ -97,16 +97,24 @@ def _merge(first, second, doc, tie, start, count, length, many=None):
     new[1:] |= second[1:] != second[:-1]
     group = np.cumsum(new_first) - 1
     kind = np.where(new, _PAIR, _REPEAT)
+    kind[~new & _again(doc, tie, start)] = _SAME
     if many is not None and group.size:
         nth = np.cumsum(new) - np.cumsum(new)[np.flatnonzero(new_first)][group]  # 0 for the first pair of its rank
         kind[new & (np.bincount(group[new]) > many)[group] & (nth >= 2)] = _OPEN
     spans = _join(*(x[kind == _REPEAT] for x in (doc, tie, start, count)), length)
-    keep = kind != _REPEAT
+    keep = (kind == _PAIR) | (kind == _OPEN)
     pairs = [x[keep] for x in (kind, first, second, doc, tie, start, count)]
     zeros = np.zeros(spans[0].size, np.uint64)
     return [np.concatenate(x) for x in zip(pairs, [np.full(zeros.size, _REPEAT), zeros, zeros, *spans])]
 
 
+def _again(doc, tie, start) -> np.ndarray:
+    """Rows at the very position of the row before: a repeated row of the table repeats no other document."""
+    same = np.zeros(doc.size, bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (start[1:] == start[:-1])
+    return same
+
+
 def _join(doc, tie, start, count, length):
     """Runs of windows without a gap between their bytes, as (doc, tie, start, number of windows)."""
     order = np.lexsort((start, tie, doc))
@@ -158,7 +166,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 undecided[0] = False  # sent before
             last = np.flatnonzero(new)[-1]
             held, decided = [x[last] for x in rows], bool(several[group[last]])
-            repeat = ~new
+            repeat = ~new & ~_again(*rows[2:5])
             spans = _join(*(x[repeat] for x in rows[2:]), length)
             open_rows = [x[undecided] for x in rows[2:]]
         else:

@@ -1,7 +1,9 @@
 """Operators with one right answer, against plain Python."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -236,46 +238,62 @@ def test_quality_rules(documents):
     assert Counter((r["doc_id"], *[r[c] for c in names]) for r in found) == Counter((k, *brute(t)) for k, t in rows_of(documents))
 
 
-def test_log_ratio(documents):
+def brute_ratios(rows, trusted):
+    """The log ratio of each text, from plain counts."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda v, seed: xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+
+    def grams(text):
+        words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return words + [signed(of_long(b, of_long(a, 42))) for a, b in zip(words, words[1:])]
+
+    size = sum(len((t or "").encode()) for _, t in rows)
+    classes = 1 << max(10, math.ceil(math.log2(quality_rules.CLASSES * math.sqrt(size) + 1)))
+    raw, good = Counter(), Counter()
+    for key, text in rows:
+        raw.update(grams(text))
+        if key in trusted:
+            good.update(grams(text))
+    n, cut = sum(raw.values()), quality_rules.LEADER * sum(raw.values()) / classes
+    leader = {}
+    for gram, count in raw.items():
+        if count >= cut:
+            leader[gram % classes] = max(leader.get(gram % classes, (0, 0)), (count, gram))
+    leaders = {c: g for c, (_, g) in leader.items()}
+    outcome = lambda g: (g % classes, leaders.get(g % classes) == g)
+    raws, goods = Counter(), Counter()
+    for g, c in raw.items():
+        raws[outcome(g)] += c
+        goods[outcome(g)] += good[g]
+    prior = quality_rules.PRIOR * classes
+
+    def weight(o):
+        share = (raws[o] + 1) / (n + 2 * classes)
+        return math.log((goods[o] + share * prior) / (share * (sum(goods.values()) + prior)))
+
+    weights = {o: weight(o) for o in raws}
+    return leaders, [(k, t, sum(weights[outcome(g)] for g in grams(t)) / len(grams(t)) if grams(t) else 0.0) for k, t in rows]
+
+
+@pytest.mark.parametrize("block", [None, 512])
+def test_log_ratio(documents, monkeypatch, block):
+    """Every verdict against plain counts, with one block of classes and with several passes."""
+    if block:
+        monkeypatch.setattr(quality_rules, "BLOCK", block)
     trusted = documents.filter("doc_id % 3 = 0").select("doc_id")
-    judged = quality_rules.judge(documents, quality_rules.log_ratios(documents, trusted)).collect()
-    assert all(r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality_rules.MIN_RATIO) for r in judged)
-    assert len(judged) == documents.count() and all(np.isfinite(r["log_ratio"]) for r in judged)
-
-
-def test_log_ratio_by_hand(spark):
-    rows = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, None)], "doc_id long, text string")
-    weights = quality_rules.log_ratios(rows, rows.filter("doc_id = 1").select("doc_id"))
-    b = quality_rules.BUCKETS
-    both = np.log((1 + 1) / (3 + b)) - np.log((2 + 1) / (6 + b))  # "a": once among 3 trusted grams, twice among 6
-    good = np.log((1 + 1) / (3 + b)) - np.log((1 + 1) / (6 + b))
-    bad = np.log((0 + 1) / (3 + b)) - np.log((1 + 1) / (6 + b))
-    ratio = {r["doc_id"]: r["log_ratio"] for r in quality_rules.judge(rows, weights).collect()}
-    assert ratio[1] == pytest.approx((both + 2 * good) / 3) and ratio[2] == pytest.approx((both + 2 * bad) / 3) and ratio[3] == 0
-
-
-def test_grams_that_share_a_bucket(spark, monkeypatch):
-    """Two words of one bucket, one only among trusted texts and one only among others, keep their own ratios."""
-    first, seen = {}, None
-    for i in range(100_000):
-        bucket = xxhash.xxh64_intdigest(f"w{i}".encode(), 42) % quality_rules.BUCKETS
-        if bucket in first:
-            seen = first[bucket], f"w{i}"
-            break
-        first[bucket] = f"w{i}"
-    fine, junk = seen
-    texts = [(i, fine if i < 40 else junk) for i in range(80)] + [(200, None), (7, fine)]
-    rows = spark.createDataFrame(texts, "doc_id long, text string")
-    trusted = rows.filter("doc_id < 40").select("doc_id")
-    for hot in (quality_rules.HOT, 1):  # looked up, and joined by hash
-        monkeypatch.setattr(quality_rules, "HOT", hot)
-        judged = quality_rules.judge(rows, quality_rules.log_ratios(rows, trusted)).collect()
-        assert len(judged) == len(rows.collect())
-        b = quality_rules.BUCKETS
-        both = np.log((41 + 1) / (41 + b)) - np.log((81 + 1) / (81 + b))
-        want = {fine: both + np.log(42 / (41 * 41 / 81 + 1)), junk: both + np.log(1 / (40 * 41 / 81 + 1)), None: 0}
-        assert want[junk] < quality_rules.MIN_RATIO < 0
-        assert all(r["log_ratio"] == pytest.approx(want[r["text"]]) for r in judged)
+    judged = quality_rules.judge(documents.select("doc_id", "text"), quality_rules.log_ratios(documents, trusted)).collect()
+    leaders, want = brute_ratios(rows_of(documents), {r[0] for r in trusted.collect()})
+    assert leaders or not want
+    key = lambda x: repr(x[:2])
+    for (k, t, ratio), r in zip(sorted(want, key=key), sorted(judged, key=lambda r: key((r["doc_id"], r["text"])))):
+        assert (k, t) == (r["doc_id"], r["text"]) and r["log_ratio"] == pytest.approx(ratio, abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality_rules.MIN_RATIO)
+    assert len(judged) == len(want)
+
+
+def test_without_trusted_documents(small_documents):
+    weights = quality_rules.log_ratios(small_documents, small_documents.limit(0).select("doc_id"))
+    assert all(abs(r["log_ratio"]) < 1e-9 for r in quality_rules.judge(small_documents, weights).collect())
 
 
 # --------------------------------------------------------------------------------- PII
@@ -415,4 +433,4 @@ def test_text_bytes_of_slices():
 
 
 def test_query_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
