@@ -17,7 +17,8 @@ both-sided pattern and the slot has as many digits as the kind can have (``SLOT_
 span. Slots do not take part in the scoring. An address has letters, so it has no slot.
 
 Regular expressions are written so that no text makes them slow or deep: runs start where the run
-starts (or where the match before ended) and are possessive, which changes no match.
+starts (or where the match before ended) and are possessive, which changes no match. Spans are compared by
+merging ordered lists, so a text's cost grows with its length and not with the square of its spans.
 
 Defined results: a null text is an empty one and has no spans. Repeated rows and rows with a null key
 each get their row. An empty table gives an empty result; columns named like an output are replaced.
@@ -25,18 +26,19 @@ each get their row. An empty table gives an empty result; columns named like an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rigsense.llm.base import stage
+from rigsense.llm.base import new_name, stage
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 SUPPORT = 5  # different seeds that a pattern needs
 ACCEPT = 0.8  # score from which a pattern finds new identifiers
 CONTEXT = 48  # characters on either side that are read for words
+CHUNK = 4096  # characters of a piece of text from which contexts are read
 SLOT_DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
-BLOCK = 256  # running sums are made block by block
+BLOCK = 256  # running sums and the like are made block by block
 # Fixed patterns of the four kinds.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -84,37 +86,62 @@ def _likely(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of all elements before each element, block by block so that long arrays stay cheap."""
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(starts, lambda at: F.slice(values, at, BLOCK))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda would compute an outer expression on every call."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
-    def sums(parts: Column, first: Column) -> Column:
-        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
-        begin = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(parts, begin, step, lambda s: s["all"])
 
-    heads = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x)), F.lit(0))
-    return F.flatten(F.zip_with(blocks, heads, sums))
+def running(values: Column, first: int, op=lambda a, b: a + b) -> Column:
+    """``op`` over all integers before each element, block by block so that long arrays stay cheap."""
+    def steps(parts: Column, begin: Column) -> Column:
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        return F.aggregate(parts, F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("all")), step, lambda s: s["all"])
+
+    def blocks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.slice(v, at, BLOCK))
+
+    def joined(cut: Column) -> Column:
+        heads = steps(F.transform(cut, lambda b: F.aggregate(b, F.lit(first), lambda s, x: op(s, x))), F.lit(first))
+        return F.flatten(F.zip_with(cut, heads, steps))
+
+    return _let(values, lambda v: _let(blocks(v), joined))
 
 
 def _matches(text: Column, pattern: str, kind: str, ok) -> Column:
     """All matches that pass ``ok``, in order: kind, start and end in code points, and value."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    rows = F.transform(F.arrays_zip(running_sums(steps).alias("before"), gaps.alias("gap"), found.alias("value")), lambda x: F.struct(
-        F.lit(kind).alias("kind"), (x["before"] + F.length(x["gap"])).cast("int").alias("start"),
-        (x["before"] + F.length(x["gap"]) + F.length(x["value"])).cast("int").alias("end"), x["value"].alias("value"),
-    ))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def placed(p: Column) -> Column:
+        steps = F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], lambda g, m: F.length(g) + F.length(m))
+        return F.transform(F.arrays_zip(running(steps, 0).alias("before"), p["gaps"].alias("gap"), p["found"].alias("value")), lambda x: F.struct(
+            F.lit(kind).alias("kind"), (x["before"] + F.length(x["gap"])).cast("int").alias("start"),
+            (x["before"] + F.length(x["gap"]) + F.length(x["value"])).cast("int").alias("end"), x["value"].alias("value"),
+        ))
+
+    rows = _let(parts, placed)
     return F.filter(rows, lambda x: x["value"].isNotNull() & ok(x["value"]))
 
 
+_FAR = (1 << 31) - 1
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def _apart(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap no span of ``base``: one merge of both by start, no pairs."""
+    side = lambda xs, mine: F.transform(xs, lambda s: F.struct(s["start"].alias("at"), F.lit(mine).alias("mine"), s["end"].alias("end"), s.alias("s")))
+
+    def free(merged: Column) -> Column:
+        ends = running(F.transform(merged, lambda x: F.when(x["mine"] == 0, x["end"]).otherwise(-1)), -1, F.greatest)
+        starts = F.reverse(running(F.transform(F.reverse(merged), lambda x: F.when(x["mine"] == 0, x["at"]).otherwise(_FAR)), _FAR, F.least))
+        rows = F.arrays_zip(merged.alias("x"), ends.alias("ends"), starts.alias("starts"))
+        return F.filter(rows, lambda r: (r["x"]["mine"] == 1) & (r["ends"] <= r["x"]["at"]) & (r["starts"] >= r["x"]["end"]))
+
+    def alone(xs: Column) -> Column:
+        merged = F.array_sort(F.concat(side(base, 0), side(xs, 1)))  # of equal starts, base first
+        return F.when((F.size(base) > 0) & (F.size(xs) > 0), F.transform(_let(merged, free), lambda r: r["x"]["s"])).otherwise(xs)
+
+    return _let(spans, alone)
 
 
 def base_spans(documents: DataFrame, text: str, out: str) -> DataFrame:
@@ -141,7 +168,7 @@ def candidate_spans(documents: DataFrame, text: str, base: str, out: str) -> Dat
     }
     rows = documents.withColumn(out, none)
     for k in KINDS:
-        found = F.filter(_matches(body, LOOSE[k], k, lambda v, k=k: _likely(k, v)), lambda s: _apart(s, F.col(base)))
+        found = _apart(_matches(body, LOOSE[k], k, lambda v, k=k: _likely(k, v)), F.col(base))
         rows = rows.withColumn(out, F.when(may[k], F.concat(F.col(out), found)).otherwise(F.col(out)))
     return rows
 
@@ -151,13 +178,23 @@ def slot_spans(documents: DataFrame, text: str, base: str, out: str) -> DataFram
     body = F.coalesce(F.col(text), F.lit(""))
     least, most = min(lo for lo, _ in SLOT_DIGITS.values()), max(hi for _, hi in SLOT_DIGITS.values())
     found = _matches(body, _SLOT, "slot", lambda v: F.length(_digits(v)).between(least, most))
-    return documents.withColumn(out, F.when(body.rlike("[0-9]"), F.filter(found, lambda s: _apart(s, F.col(base)))).otherwise(F.array().cast(_SPAN)))
+    return documents.withColumn(out, F.when(body.rlike("[0-9]"), _apart(found, F.col(base))).otherwise(F.array().cast(_SPAN)))
 
 
-def _patterns(text: Column, span: Column) -> Column:
+def _chunks(text: Column) -> Column:
+    """Overlapping pieces of a text: CHUNK characters each with CONTEXT characters before and after.
+
+    A place in a long text is counted from its start, so contexts are read from the piece they lie in.
+    """
+    padded = F.concat(F.lit(" " * CONTEXT), text)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda i: F.substring(padded, i * CHUNK + 1, F.lit(CHUNK + 2 * CONTEXT)))
+
+
+def _patterns(chunks: Column, span: Column) -> Column:
     """The lexical patterns around a span."""
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), span["start"])))
-    after = F.lower(F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
+    piece = lambda at: F.get(chunks, F.floor(at / CHUNK).cast("int"))
+    before = F.lower(F.substring(piece(span["start"]), span["start"] % CHUNK + 1, F.lit(CONTEXT)))
+    after = F.lower(F.substring(piece(span["end"]), span["end"] % CHUNK + CONTEXT + 1, F.lit(CONTEXT)))
     left = F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1)
     left2 = F.regexp_extract(before, r"(\p{L}+)[^\p{L}]+\p{L}+[^\p{L}]*$", 1)
     right = F.regexp_extract(after, r"^[^\p{L}]*(\p{L}+)", 1)
@@ -186,10 +223,13 @@ def find(documents: DataFrame, text: str = "text", carry_text: bool = True) -> D
     """
     names = ["base_spans", "all_spans"]
     kept = [c for c in documents.columns if c not in names and (carry_text or c != text)]
-    rows = documents.select(*dict.fromkeys([*kept, text])).withColumn("_row", F.monotonically_increasing_id())
+    carried, own = new_name("carried"), new_name("text")
+    rows = documents.select(F.struct(*kept, F.lit(0).alias(carried)).alias(carried), F.col(text).alias(own)).withColumn("_row", F.monotonically_increasing_id())
+    text = own
     rows = candidate_spans(base_spans(rows, text, "base_spans"), text, "base_spans", "_near")
     rows = slot_spans(rows, text, "base_spans", "_slots")
-    body = F.coalesce(F.col(text), F.lit(""))
+    rows = rows.withColumn("_chunks", F.when((F.size("base_spans") > 0) | (F.size("_near") > 0) | (F.size("_slots") > 0), _chunks(F.coalesce(F.col(text), F.lit("")))))
+    body = F.col("_chunks")
     mark = lambda spans, seed: F.transform(spans, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(seed).alias("seed"), _patterns(body, s).alias("patterns")))
     rows = rows.withColumn("_seen", F.concat(mark(F.col("base_spans"), 1), mark(F.col("_near"), 0)))
@@ -197,7 +237,7 @@ def find(documents: DataFrame, text: str = "text", carry_text: bool = True) -> D
     rows = rows.withColumn("_slots", F.transform("_slots", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.length(_digits(s["value"])).alias("digits"),
         F.size(F.split(s["value"], "[^0-9]+")).alias("groups"), F.get(_patterns(body, s), F.lit(2)).alias("pattern"))))
-    rows = rows.withColumn("base_spans", F.transform("base_spans", plain)).drop("_near", *([] if carry_text else [text]))
+    rows = rows.withColumn("base_spans", F.transform("base_spans", plain)).drop("_near", "_chunks", text)
     rows = stage(rows, "pii-rows")
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
     accepted = learn_patterns(seen)
@@ -208,17 +248,23 @@ def find(documents: DataFrame, text: str = "text", carry_text: bool = True) -> D
     both = accepted.filter(F.col("pattern").rlike(r"^B \p{L}+ \p{L}+$")).select("kind", "pattern")
     read = slots.join(both, "pattern").filter(fits[0] | fits[1] | fits[2]).select("_row", "kind", "start", "end")
     new = new.union(read).distinct()
-    new = new.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_new"))  # candidates of one text
     rank = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
-    # Of accepted spans that overlap, the first kind as listed stays, and of one kind the longest, then the first.
-    given = F.array_sort(F.transform(F.coalesce("_new", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: F.struct(
-        F.element_at(rank, s["kind"]).alias("rank"), (s["start"] - s["end"]).alias("size"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # Of accepted spans that overlap, the first kind as listed stays, and of one kind the longest, then the
+    # first. Only spans of one run of overlapping spans meet; a run is short however many a text has.
+    order = Window.partitionBy("_row").orderBy("start", "end", "kind")  # spans of one text
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = new.withColumn("_new_run", F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), 1).otherwise(0))
+    new = new.withColumn("_run", F.sum("_new_run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = new.groupBy("_row", "_run").agg(F.array_sort(F.collect_list(F.struct(
+        F.element_at(rank, F.col("kind")).alias("rank"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "kind"))).alias("given"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    chosen = F.aggregate(given, none, lambda done, s: F.when(_apart(s, done), F.concat(done, F.array(plain(s)))).otherwise(done))
-    keyed = F.transform(F.concat("base_spans", chosen), lambda s: F.struct(
+    clear = lambda s, done: ~F.exists(done, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    runs = runs.withColumn("chosen", F.aggregate("given", none, lambda done, s: F.when(clear(s, done), F.concat(done, F.array(plain(s)))).otherwise(done)))
+    new = runs.groupBy("_row").agg(F.flatten(F.collect_list("chosen")).alias("_new"))
+    keyed = F.transform(F.concat("base_spans", F.coalesce("_new", none)), lambda s: F.struct(
         F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     out = rows.drop("_seen", "_slots").join(new, "_row", "left")
-    return out.withColumn("all_spans", F.transform(F.array_sort(keyed), plain)).select(*kept, *names)
+    return out.select(*[F.col(carried)[c].alias(c) for c in kept], "base_spans", F.transform(F.array_sort(keyed), plain).alias("all_spans"))
 
 
 def text_of(spans: Column) -> Column:
@@ -228,22 +274,23 @@ def text_of(spans: Column) -> Column:
 
 def mask(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with every span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
-    found = find(documents, text)
+    carried, cuts = new_name("carried"), new_name("cut")
+    slim = documents.select(F.struct(*[F.col(c) for c in documents.columns if c != text], F.lit(0).alias(carried)).alias(carried), text)
+    found = find(slim, text)
     flat = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     # A span that begins before the furthest end so far belongs to the span before it.
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    joined = F.aggregate(flat, none, lambda done, s: F.when(
-        (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]).alias("end"),
-            F.get(done, F.size(done) - 1)["kind"].alias("kind")))),
-    ).otherwise(F.concat(done, F.array(s))))
-    found = found.withColumn("_cut", joined)
-    cut, body = F.col("_cut"), F.col(text)
+    reach = running(F.transform(flat, lambda s: s["end"]), 0, F.greatest)
+    heads = F.filter(F.arrays_zip(flat.alias("s"), reach.alias("reach")), lambda r: r["s"]["start"] >= r["reach"])
+    furthest = F.array_max(F.transform(flat, lambda s: s["end"]))
+    found = found.withColumn(cuts, heads)
+    last = F.transform(cuts, lambda r, i: F.struct(
+        r["s"]["start"].alias("start"), F.coalesce(F.get(F.col(cuts), i + 1)["reach"], furthest).alias("end"), r["s"]["kind"].alias("kind")))
+    found = found.withColumn(cuts, last)
+    cut, body = F.col(cuts), F.col(text)
     pieces = F.transform(cut, lambda s, i: F.concat(
         F.substring(body, F.coalesce(F.get(cut, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(cut, i - 1)["end"], F.lit(0))),
         F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")),
     ))
     tail = F.substring(body, F.get(cut, F.size(cut) - 1)["end"] + 1, F.length(body))
     masked = F.when(F.size(cut) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(body)
-    return found.withColumn(text, masked).select(*documents.columns)
+    return found.select(*[masked.alias(c) if c == text else F.col(carried)[c].alias(c) for c in documents.columns])

@@ -297,6 +297,25 @@ def test_without_trusted_documents(small_documents):
 
 
 # --------------------------------------------------------------------------------- PII
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_apart(spark, seed):
+    rng = np.random.default_rng(seed)
+    spans = lambda n: sorted((int(a), int(a + 1 + rng.integers(6))) for a in rng.choice(400, n, replace=False))
+    base, other = spans(40), spans(120)
+    row = lambda xs: [("k", a, b, "v") for a, b in xs]
+    df = spark.createDataFrame([(row(base), row(other)), ([], row(other)), (row(base), [])], f"base {pii._SPAN}, other {pii._SPAN}")
+    got = [[(s["start"], s["end"]) for s in r[0]] for r in df.select(pii._apart(F.col("other"), F.col("base"))).collect()]
+    assert got == [[(a, b) for a, b in other if all(d <= a or b <= c for c, d in base)], other, []]
+
+
+def test_a_long_text_dense_in_spans(spark):
+    """A long text of nothing but spans ends, and base spans are those of the patterns."""
+    text = "a@b.cc x@y 10.0.0.1 " * 5_000
+    found = pii.find(spark.createDataFrame([(1, text), (2, "short a@b.cc")], "doc_id long, text string")).collect()
+    long = next(r for r in found if r["doc_id"] == 1)
+    assert [tuple(s) for s in long["base_spans"]] == brute_pii(text) and len(long["all_spans"]) >= 10_000
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
