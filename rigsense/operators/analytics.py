@@ -102,9 +102,7 @@ def tradeoff_summary(df: DataFrame, columns: Sequence[str] = tuple(S.TRADEOFF_CO
         *[round_half_even(F.avg(x), 4).alias(f"{c}_mean") for c, x in num.items()],
         *[round_half_even(F.stddev_samp(x), 4).alias(f"{c}_std") for c, x in num.items()],
     )
-    medians = exact_quantiles(
-        known, {c: (x, 0.5) for c, x in num.items()}, ["operating_mode"], few_groups=True
-    ).select("operating_mode", *[round_half_even(F.col(c), 4).alias(f"{c}_median") for c in columns])
+    medians = exact_quantiles(known, {c: (x, 0.5) for c, x in num.items()}, ["operating_mode"]).select("operating_mode", *[round_half_even(F.col(c), 4).alias(f"{c}_median") for c in columns])
     order = [f"{c}_{s}" for c in columns for s in ("mean", "median", "std")]
     return stats.join(medians, "operating_mode").select("operating_mode", *order)
 
@@ -272,9 +270,7 @@ def te_box_stats(df: DataFrame, value: str = "true_efficiency_te") -> DataFrame:
     """Per mode the quartiles, the whiskers (last value within 1.5 IQR) and outlier counts."""
     x = F.col(value)
     known = df.filter(F.col("operating_mode").isin(S.OPERATING_MODES))
-    quart = exact_quantiles(
-        known, {"q1": (x, 0.25), "med": (x, 0.5), "q3": (x, 0.75)}, ["operating_mode"], few_groups=True
-    )
+    quart = exact_quantiles(known, {"q1": (x, 0.25), "med": (x, 0.5), "q3": (x, 0.75)}, ["operating_mode"])
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - lit_d(1.5) * iqr, F.col("q3") + lit_d(1.5) * iqr
     fenced = known.join(F.broadcast(quart), "operating_mode")  # one row per mode

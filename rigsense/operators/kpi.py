@@ -116,9 +116,7 @@ def hashrate_deviation_by_mode(df: DataFrame, batch: str | None = None) -> DataF
     would put a third of the table on one task.
     """
     by = ["operating_mode"] + ([batch] if batch else [])
-    medians = exact_quantiles(
-        df, {"_median": (F.col("asic_hashrate_ths"), 0.5)}, by, few_groups=batch is None
-    )
+    medians = exact_quantiles(df, {"_median": (F.col("asic_hashrate_ths"), 0.5)}, by)
     dev = round_half_even(
         ratio(F.col("asic_hashrate_ths") - F.col("_median"), F.col("_median")) * lit_d(100.0), 2
     )

@@ -1,8 +1,8 @@
 """Building blocks that keep operators safe on skewed and very large inputs.
 
-Each has a plain route for inputs that one scan task can hold, and a route whose
-largest task does not depend on how rows are spread over keys. The choice looks only
-at Catalyst's own size of the files behind a DataFrame, so it costs no job.
+Quantiles have one route. Device windows and running totals have a plain route for inputs that
+one scan task can hold, and a route whose largest task does not depend on how rows are spread over
+keys. That choice looks only at Catalyst's own size of the files behind a DataFrame, so it costs no job.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from rigsense.functions.exprs import count_where, lit_d
 
 BLOCK_ROWS = 5_000_000  # rows of one device that a single window task should sort
 MAX_HOT_KEYS = 10_000  # upper bound on the number of keys treated one by one
-QUANTILE_ACCURACY = 100_000  # a bracket holds about 4/accuracy of a column's rows
 BROADCAST_ROWS = 1_000_000  # largest lookup that is sent to every executor
 
 
@@ -87,104 +86,80 @@ def attach_row(df: DataFrame, row: DataFrame) -> tuple[DataFrame, Column]:
 
 
 # --------------------------------------------------------------------------- quantiles
-def exact_quantiles(
-    df: DataFrame,
-    wanted: dict[str, tuple[Column, float]],
-    by: Sequence[str] = (),
-    few_groups: bool = False,
-    bracketed: bool | None = None,
-) -> DataFrame:
+def ordered_prefix(x: Column) -> Column:
+    """A long that never falls while a double grows: sign, exponent and the first 31 bits of the fraction."""
+    def image(size: Column) -> Column:
+        return F.transform(F.transform(F.array(F.floor(F.log2(size))), lambda guess: (  # one off at most, next to a power of two
+            guess + F.when(size >= F.pow(lit_d(2.0), guess + 1), 1).when(size < F.pow(lit_d(2.0), guess), -1).otherwise(0)
+        )), lambda e: (e + 1075) * F.lit(1 << 31) + F.floor((size / F.pow(lit_d(2.0), e) - 1) * lit_d(float(1 << 31))))[0]
+
+    size = F.when(F.abs(x) < lit_d("inf"), F.abs(x))
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * F.coalesce(image(size), F.lit(2100 << 31)))
+
+
+def _within(rank: str, start: Column, end: Column) -> Column:
+    """A rank counted from ``start``, or null if it lies outside."""
+    return F.when((F.col(rank) >= start) & (F.col(rank) < end), F.col(rank) - start)
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles: ``wanted`` maps a name to (column, p).
 
-    ``percentile`` keeps every distinct value of a group in one hash map. On large input
-    a sketch first brackets each quantile, then one more pass counts the rows below the
-    bracket and keeps only the values inside it, so no task sees more than a sliver of a
-    column. The sketch only decides where to look; the answer is exact, and a bracket
-    that misses raises an error instead of returning a near value. NaN is a missing value.
+    Radix selection: equal values are counted once, and the counts are added up over the first 42 and the
+    first 21 bits of the values' order. The ranks wanted are then followed from the coarse counts to the fine
+    ones to the values. At each step a group and prefix has at most a few million rows of counts, however many
+    rows the group has and whatever they hold, so no task depends on the size of a group. The rows themselves
+    are read once.
+
+    Null and NaN are missing values. A group without values has null quantiles; a null key is a group. Without
+    ``by`` there is always one row.
     """
-    by = list(by)
+    by, names = list(by), list(wanted)
     kinds = dict(df.select(*[c.alias(n) for n, (c, _) in wanted.items()]).dtypes)
-    wanted = {n: (F.when(~F.isnan(c), c) if kinds[n] in ("float", "double") else c, p) for n, (c, p) in wanted.items()}
-    if bracketed is None:
-        bracketed = not fits_one_task(df)
-    if not bracketed:
-        return df.groupBy(*by).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
-
-    names = list(wanted)
-    cols = {n: f"_c{i}" for i, n in enumerate(names)}
-    slim = df.select(*by, *[wanted[n][0].cast("double").alias(cols[n]) for n in names])
-    step = 2.0 / QUANTILE_ACCURACY
-    sketch = slim.groupBy(*by).agg(
-        *[F.count(cols[n]).alias(f"_n{cols[n]}") for n in names],
-        *[
-            F.percentile_approx(
-                cols[n],
-                [max(0.0, wanted[n][1] - step), min(1.0, wanted[n][1] + step)],
-                QUANTILE_ACCURACY,
-            ).alias(f"_b{cols[n]}")
-            for n in names
-        ],
-    )
-    if by:
-        around = null_safe_join(slim, F.broadcast(sketch) if few_groups else sketch, by)
-    else:
-        packed, row = attach_row(slim, sketch)
-        around = packed.select(
-            *slim.columns,
-            *[row[c].alias(c) for c in sketch.columns],
-        )
-    # In groups this small one rank is wider than the bracket: they keep all their values.
-    small = {n: F.col(f"_n{cols[n]}") <= F.lit(2 * QUANTILE_ACCURACY) for n in names}
-    edge = {n: [F.get(F.col(f"_b{cols[n]}"), F.lit(i)) for i in (0, 1)] for n in names}
-    lo = {n: F.when(small[n], lit_d("-inf")).otherwise(edge[n][0]) for n in names}
-    hi = {n: F.when(small[n], lit_d("inf")).otherwise(edge[n][1]) for n in names}
-
-    below = around.groupBy(*by).agg(
-        *[count_where(F.col(cols[n]) < lo[n]).alias(f"_below{cols[n]}") for n in names],
-        *[F.first(f"_n{cols[n]}").alias(f"_n{cols[n]}") for n in names],
-    )
-    facts = below.select(
-        *by,
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(i).alias("_q"),
-                F.col(f"_below{cols[n]}").alias("_below"),
-                (lit_d(wanted[n][1]) * (F.col(f"_n{cols[n]}") - F.lit(1))).alias("_pos"),
-                F.col(f"_n{cols[n]}").alias("_n"),
-            )
-            for i, n in enumerate(names)
-        ])),
-    ).filter("_n > 0")
-    inside = around.select(
-        *by,
-        F.inline(F.array_compact(F.array(*[
-            F.when(
-                F.col(cols[n]).between(lo[n], hi[n]),
-                F.struct(F.lit(i).alias("_q"), F.col(cols[n]).alias("_v")),
-            )
-            for i, n in enumerate(names)
-        ]))),
-    ).groupBy(*by, "_q", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-
-    order = Window.partitionBy(*by, "_q").orderBy("_v")
-    ranked = null_safe_join(inside.withColumn("_end", F.sum("_cnt").over(order)), facts, [*by, "_q"])
-    start = F.col("_below") + F.col("_end") - F.col("_cnt")
-    end = F.col("_below") + F.col("_end") - F.lit(1)
-    left, right = F.floor("_pos"), F.ceil("_pos")
-    picked = ranked.groupBy(*by, "_q").agg(
-        F.max(F.when(left.between(start, end), F.col("_v"))).alias("_left"),
-        F.max(F.when(right.between(start, end), F.col("_v"))).alias("_right"),
-        F.first("_pos").alias("_pos"),
-    )
-    value = F.coalesce(
-        F.col("_left") + (F.col("_right") - F.col("_left")) * (F.col("_pos") - F.floor("_pos")),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    )
-    found = picked.withColumn("_val", value).groupBy(*by).agg(
-        *[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)]
-    )
-    # Groups without any value are groups all the same.
-    return null_safe_join(sketch.select(*by), found, by, "left") if by else found
+    sources: list[Column] = []  # quantiles of the same column share its counts
+    source_of = {}
+    for n, (c, _) in wanted.items():
+        same = [i for i, known in enumerate(sources) if known is c]
+        source_of[n] = same[0] if same else len(sources)
+        sources += [] if same else [c]
+    first = {source_of[n]: n for n in reversed(names)}
+    value = {i: F.when(~F.isnan(c), c) if kinds[first[i]] in ("float", "double") else c for i, c in enumerate(sources)}
+    entries = [F.struct(F.lit(i).alias("_c"), (v.cast("double") + lit_d(0.0)).alias("_v")) for i, v in value.items()]  # -0.0 is 0.0
+
+    keys = [*by, "_c"]
+    values = df.select(*by, F.inline(F.array(*entries))).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    values = values.withColumn("_fine", ordered_prefix(F.col("_v")))
+    fine = values.groupBy(*keys, "_fine").agg(F.sum("_n").alias("_n")).withColumn("_coarse", F.shiftright("_fine", 21))
+    coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
+
+    def step(counts: DataFrame, within: list[str], digit: str) -> tuple[DataFrame, Column, Column]:
+        upto = Window.partitionBy(*within).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_end", F.sum("_n").over(upto))
+        return counts, F.col("_end") - F.col("_n"), F.col("_end")
+
+    top, start, end = step(coarse, keys, "_coarse")
+    top = top.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    asked = F.array(*[F.struct(F.lit(q).alias("_q"), F.lit(source_of[n]).alias("_of"), lit_d(wanted[n][1]).alias("_p")) for q, n in enumerate(names)])
+    top = top.select("*", F.inline(F.filter(asked, lambda a: a["_of"] == F.col("_c"))))
+    top = top.withColumn("_pos", F.col("_p") * (F.col("_all") - 1)).withColumns({"_l": F.floor("_pos"), "_r": F.ceil("_pos")})
+    at = top.withColumns({"_l": _within("_l", start, end), "_r": _within("_r", start, end)})
+    at = at.filter("_l IS NOT NULL OR _r IS NOT NULL OR _all = 0").select(*keys, "_q", "_pos", "_coarse", "_l", "_r")
+
+    mid, start, end = step(null_safe_join(fine, at, [*keys, "_coarse"]), [*keys, "_q", "_coarse"], "_fine")
+    none = F.col("_l").isNull() & F.col("_r").isNull()
+    at = mid.withColumn("_none", none).withColumns({"_l": _within("_l", start, end), "_r": _within("_r", start, end)})
+    at = at.filter("_l IS NOT NULL OR _r IS NOT NULL OR _none").select(*keys, "_q", "_pos", "_fine", "_l", "_r")
+
+    low, start, end = step(null_safe_join(values, at, [*keys, "_fine"]), [*keys, "_q", "_fine"], "_v")
+    left, right = (F.when(_within(rank, start, end).isNotNull(), F.col("_v")) for rank in ("_l", "_r"))
+    found = low.withColumns({"_left": left, "_right": right}).groupBy(*by).agg(*[
+        F.max(F.when(F.col("_q") == q, F.col(c))).alias(f"{c}{q}") for q in range(len(names)) for c in ("_left", "_right", "_pos")])
+
+    def between(q: int) -> Column:
+        a, b, pos = F.col(f"_left{q}"), F.col(f"_right{q}"), F.col(f"_pos{q}")
+        return F.when(a == b, a).otherwise((F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b)
+
+    return found.select(*by, *[between(q).alias(n) for q, n in enumerate(names)])
 
 
 # --------------------------------------------------------------------------- device windows

@@ -70,7 +70,6 @@ def force_scale_routes(rows: int = 25) -> None:
 
     scale.fits_one_task = features.fits_one_task = lambda df: False
     scale.BLOCK_ROWS = rows
-    scale.QUANTILE_ACCURACY = 100
 
 
 def main(sf_dir: str, names: list[str]) -> int:

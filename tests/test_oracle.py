@@ -29,12 +29,11 @@ LARGE = ["impute_ffill_bfill_median", "recompute_hashrate_deviation", "kpi_power
 
 @pytest.mark.parametrize("name", LARGE)
 def test_routes_for_large_input(spark, con, sf_dir, name, monkeypatch):
-    """The same values when every device is cut into blocks and every quantile is bracketed."""
+    """The same values when every device is cut into blocks."""
     from rigsense.operators import features, scale
 
     monkeypatch.setattr(scale, "fits_one_task", lambda df: False)
     monkeypatch.setattr(features, "fits_one_task", lambda df: False)
     monkeypatch.setattr(scale, "BLOCK_ROWS", 25)
-    monkeypatch.setattr(scale, "QUANTILE_ACCURACY", 100)
     problem, _ = compare(spark, con, QUERIES[name], ORACLE[name], sf_dir)
     assert problem is None, problem

@@ -1,5 +1,9 @@
 """The skew-safe routes must give exactly what the plain routes give."""
 
+import math
+import random
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,28 +60,49 @@ def test_hot_keys(skewed):
     assert scale.hot_keys(skewed, "miner_id") == []
 
 
+def rounded(df):
+    return sorted((tuple(float(f"{x:.12g}") if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+
+
 @pytest.mark.parametrize("by", [[], ["g"], ["miner_id"]])
-def test_bracketed_quantiles_match_percentile(skewed, by):
-    wanted = {"a": (F.col("v"), 0.5), "b": (F.col("v"), 0.1), "c": (F.col("sparse"), 0.8),
-              "t": (F.unix_micros("timestamp"), 0.8)}
-    plain = scale.exact_quantiles(skewed, wanted, by, bracketed=False)
-    cut = scale.exact_quantiles(skewed, wanted, by, few_groups=by == ["g"], bracketed=True)
+def test_quantiles_match_percentile(skewed, by):
+    v = F.col("v")
+    wanted = {"a": (v, 0.5), "b": (v, 0.1), "zero": (v, 0.0), "one": (v, 1.0), "c": (F.col("sparse"), 0.8), "t": (F.unix_micros("timestamp"), 0.8)}
+    plain = skewed.groupBy(*by).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()])
+    assert rounded(plain) == rounded(scale.exact_quantiles(skewed, wanted, by))
+
+
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 0.9999999999999999]
+
+
+def test_prefix_keeps_the_order_of_doubles(spark):
+    rng = random.Random(3)
+    drawn = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)]
+    near = [2.0 ** e * f for e in range(-1070, 1024, 7) for f in (1 - 2 ** -53, 1.0, 1 + 2 ** -52)]
+    xs = sorted(x for x in EDGES + drawn + near + [-x for x in near] if not math.isnan(x))
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(scale.ordered_prefix(F.col("x"))).collect()]
+    assert got == sorted(got) and None not in got and len(set(got)) > len(set(xs)) * 0.75
 
-    def rounded(df):
-        return sorted(
-            (tuple(float(f"{x:.12g}") if isinstance(x, float) else x for x in r) for r in df.collect()),
-            key=repr,
-        )
 
-    assert rounded(plain) == rounded(cut)
+def test_quantiles_of_values_that_share_their_first_bits(spark):
+    """Thousands of neighbours in one fine prefix, and in one coarse one."""
+    rng = random.Random(4)
+    xs = [1 + rng.randrange(5000) * 2.0 ** -52 for _ in range(4000)] + [1 + rng.randrange(1 << 20) * 2.0 ** -30 for _ in range(3000)] + [float("nan"), None, -3.0]
+    d = spark.createDataFrame([(x,) for x in xs], "v double")
+    known = sorted(x for x in xs if x is not None and not math.isnan(x))
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        pos = p * (len(known) - 1)
+        a, b = known[math.floor(pos)], known[math.ceil(pos)]
+        want = a if a == b else (math.ceil(pos) - pos) * a + (pos - math.floor(pos)) * b
+        assert scale.exact_quantiles(d, {"m": (F.col("v"), p)}).first()[0] == want
 
 
-def test_bracketed_quantiles_with_narrow_brackets(skewed, monkeypatch):
-    monkeypatch.setattr(scale, "QUANTILE_ACCURACY", 50)
-    wanted = {"a": (F.col("v"), 0.5), "b": (F.col("v"), 0.1)}
-    plain = scale.exact_quantiles(skewed, wanted, bracketed=False).first()
-    cut = scale.exact_quantiles(skewed, wanted, bracketed=True).first()
-    assert plain["a"] == pytest.approx(cut["a"]) and plain["b"] == pytest.approx(cut["b"])
+def test_quantiles_of_nothing(spark):
+    d = spark.createDataFrame([], "g string, v double")
+    assert scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}).collect() == [(None,)]
+    assert scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}, ["g"]).isEmpty()
+    d = spark.createDataFrame([("a", float("nan")), ("a", None)], "g string, v double")
+    assert scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}, ["g"]).collect() == [("a", None)]
 
 
 @pytest.mark.parametrize("desc", [False, True])
@@ -89,12 +114,10 @@ def test_split_running_totals(skewed, desc):
 
 
 def test_quantiles_keep_null_and_empty_groups(spark):
-    d = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 6.0), ("e", None)], "g string, v double")
-    found = [
-        sorted(map(tuple, scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}, ["g"], few, route).collect()), key=repr)
-        for few, route in [(False, False), (False, True), (True, True)]
-    ]
-    assert found[0] == found[1] == found[2] == sorted([("a", 1.5), (None, 5.5), ("e", None)], key=repr)
+    nan = float("nan")
+    d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", nan), (None, 5.0), (None, 6.0), ("e", None), ("n", nan)], "g string, v double")
+    found = scale.exact_quantiles(d, {"m": (F.col("v"), 0.5)}, ["g"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("a", 1.5), (None, 5.5), ("e", None), ("n", None)], key=repr)
 
 
 def test_rows_without_a_device_are_split(spark, skewed):
