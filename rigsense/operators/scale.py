@@ -139,8 +139,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], by:
 
     top, start, end = step(coarse, keys, "_coarse")
     top = top.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    asked = F.array(*[F.struct(F.lit(q).alias("_q"), F.lit(source_of[n]).alias("_of"), lit_d(wanted[n][1]).alias("_p")) for q, n in enumerate(names)])
-    top = top.select("*", F.inline(F.filter(asked, lambda a: a["_of"] == F.col("_c"))))
+    asked = F.array(*[  # by source, so that a row looks its quantiles up
+        F.array(*[F.struct(F.lit(q).alias("_q"), lit_d(wanted[n][1]).alias("_p")) for q, n in enumerate(names) if source_of[n] == i]) for i in value])
+    top = top.select("*", F.inline(F.get(asked, F.col("_c"))))
     top = top.withColumn("_pos", F.col("_p") * (F.col("_all") - 1)).withColumns({"_l": F.floor("_pos"), "_r": F.ceil("_pos")})
     at = top.withColumns({"_l": _within("_l", start, end), "_r": _within("_r", start, end)})
     at = at.filter("_l IS NOT NULL OR _r IS NOT NULL OR _all = 0").select(*keys, "_q", "_pos", "_coarse", "_l", "_r")

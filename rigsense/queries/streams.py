@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from rigsense import schema as S
 from rigsense.operators.scale import work_dir
+from rigsense.plans import training as tr
+from rigsense.queries.evaluation import _stored_run
 from rigsense.queries.kpis import _dev
 from rigsense.queries.registry import add, te_sql
 from rigsense.sources import views as v
@@ -82,6 +84,18 @@ SELECT *, row_number() OVER (PARTITION BY miner_id ORDER BY "timestamp" DESC, id
     ["risk"], ["risk_score"])
 
 
+def _score_model(s, p):
+    """The stored model over the stream: windows and peers come from the stored lookback."""
+    path, as_of, hours = work_dir(s, "stream-score-model"), v.AS_OF - timedelta(hours=12), 24 * 7
+    artifact = _stored_run(s, p)[0]
+    stream = v.as_kpi(v.mode_normalize(telemetry_stream(s, p)))
+    jobs.score_job(stream, path, f"{path}/checkpoint", as_of, hours, lambda rows: tr.score_model(rows, as_of, artifact, hours), peers=True)
+    return jobs.current_predictions(s, path).select("miner_id", "model_version", "predicted_at", "risk_score", "risk_band", "predicted_failure")
+
+
+add("stream_score_model", _score_model)
+
+
 def _alerts(s, p):
     """At most one alert per risky device."""
     path = work_dir(s, "stream-alerts")

@@ -16,7 +16,7 @@ from rigsense import schema as S
 from rigsense.operators import scoring
 from rigsense.operators.alerts import alert_generate
 from rigsense.operators.kpi import POWER_WINDOW, efficiency, hashrate_deviation_by_mode, power_instability, te_worker
-from rigsense.operators.scale import latest_per_key, materialize
+from rigsense.operators.scale import latest_per_key, materialize, null_safe_join
 from rigsense.operators.tables import absent_rows, write_by_date
 
 KEY = ["miner_id", "timestamp"]
@@ -195,19 +195,50 @@ def rollup_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime |
 
 
 # --------------------------------------------------------------------------- scores and alerts
-def score_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime, lookback_hours: float, score: Callable[[DataFrame], DataFrame] = scoring.risk_heuristic, version: str = "v1") -> None:
-    """Rescore the devices of each batch and merge the result into the prediction table.
+RING = 26  # slots of the lookback store: a window covers at most RING - 1 of them
 
-    The table holds one row per device and version, that of its newest reading, so a reading that
-    arrives late changes nothing; each batch writes its next state.
+
+def keep_lookback(rows: DataFrame, path: str, as_of: datetime, hours: float) -> DataFrame:
+    """Add readings to a ring of time slots and return all of the last ``hours`` before ``as_of``.
+
+    A slot holds a 24th of the window. Only the slots of the given rows are rewritten, and a slot
+    that is rewritten loses what has expired, so the store never grows beyond RING slots. Of readings with the
+    same device and time the one stored first stays, within ``rows`` the one with the smallest id; so a batch
+    that comes again changes nothing. Readings outside the window are not kept.
+    """
+    spark = rows.sparkSession
+    width = max(1, int(hours * 3.6e9 / (RING - 2)))
+    within = F.col("timestamp").between(F.lit(as_of - timedelta(hours=hours)), F.lit(as_of))
+    rows = rows.filter(within).withColumn("slot", F.pmod(F.floor(F.unix_micros("timestamp") / width), F.lit(RING)).cast("int"))
+    schema = StructType([*[f for f in rows.schema.fields if f.name != "slot"], rows.schema["slot"]])
+    stored = table_or_empty(spark, path, schema).filter(within)
+    same = stored.join(F.broadcast(rows.select("slot").distinct()), "slot", "left_semi")  # at most RING rows
+    both = same.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    content = materialize(latest_per_key(both, KEY, [F.col("_new"), *_by_id(rows)]).drop("_new"), "stream-lookback")
+    content.hint("rebalance", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
+    return table_or_empty(spark, path, schema).filter(within).drop("slot")
+
+
+def score_job(
+    stream: DataFrame, path: str, checkpoint: str, as_of: datetime, lookback_hours: float, score: Callable[[DataFrame], DataFrame] = scoring.risk_heuristic,
+    version: str = "v1", peers: bool = False,
+) -> None:
+    """Rescore the devices of each batch over their stored lookback and merge the result into the prediction table.
+
+    ``score`` gets all readings of the lookback, those of earlier batches included, so windows do not end at
+    the border of a batch. With ``peers`` it gets, and rescores, every device of the lookback: a model whose
+    features compare devices needs that. The table holds one row per device and version, that of its newest
+    reading, so a reading that arrives late does not replace it; each batch writes its next state.
     """
     fields = "miner_id string, model_version string, predicted_at timestamp, reading_at timestamp, risk_score double, risk_band string, predicted_failure boolean"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         schema = spark.createDataFrame([], fields).schema
-        recent = batch.filter(F.col("timestamp").between(F.lit(as_of - timedelta(hours=lookback_hours)), F.lit(as_of)))
-        fresh = score(recent).select(
+        history = keep_lookback(batch, f"{path}/lookback", as_of, lookback_hours)
+        if not peers:
+            history = null_safe_join(history, batch.select("miner_id").distinct(), ["miner_id"], "left_semi")
+        fresh = score(history).select(
             "miner_id", F.lit(version).alias("model_version"), F.lit(as_of).alias("predicted_at"), F.col("timestamp").alias("reading_at"),
             "risk_score", "risk_band", "predicted_failure")
         before = table_or_empty(spark, f"{path}/{(n - 1) % 3}", schema) if n else spark.createDataFrame([], schema)
@@ -224,19 +255,26 @@ def current_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{slot}")
 
 
+def recent_alerts(spark: SparkSession, path: str, schema: StructType, since: datetime) -> DataFrame:
+    """Stored alerts of the day of ``since`` and later ones; folders of other days are not read."""
+    stored = table_or_empty(spark, path, StructType([*schema.fields]).add("created_date", "date").add("batch", "integer"))
+    return stored.filter(F.col("created_date") >= F.lit(since.date()))
+
+
 def alert_job(stream: DataFrame, path: str, checkpoint: str, as_of: datetime, cooldown_hours: float = 1, threshold: float = 0.55, control_mode: str = "advisory") -> None:
     """Alerts for risky devices, at most one unresolved alert per device and cooldown.
 
-    The cooldown is an anti join with the stored alerts, so resolving an alert lifts it.
+    The cooldown is an anti join with the stored alerts, so resolving an alert lifts it. Alerts lie in folders
+    by day of creation, and a batch reads only the days that the cooldown reaches.
     """
     fields = "created_at timestamp, miner_id string, severity string, risk_score double, trigger_reason string, message string, recommended_action string, automation_triggered boolean, resolved boolean"
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         schema = StructType(spark.createDataFrame([], fields).schema.fields)
-        stored = table_or_empty(spark, path, StructType([*schema.fields]).add("batch", "integer"))
-        earlier = stored.filter(F.col("batch") < n)
+        earlier = recent_alerts(spark, path, schema, as_of - timedelta(hours=cooldown_hours)).filter(
+            (F.col("created_date") < F.lit(as_of.date())) | (F.col("batch") != n))  # not those of this batch, when it comes again
         new = alert_generate(scoring.risk_heuristic(batch), earlier, as_of, threshold, cooldown_hours, control_mode)
-        new.withColumn("resolved", F.lit(False)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        new.withColumn("resolved", F.lit(False)).write.mode("overwrite").parquet(f"{path}/created_date={as_of.date()}/batch={n}")
 
     run_available(stream, write, checkpoint)

@@ -1,6 +1,6 @@
 """Several micro-batches must give what one batch run over all rows gives."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +131,72 @@ def test_rows_without_a_time_are_put_aside(spark, tmp_path):
     df.coalesce(1).write.mode("append").parquet(src)
     jobs.ingest(jobs.read_folder(spark, src, df.schema, files_per_batch=1), str(tmp_path / "t"), str(tmp_path / "ck"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t-untimed")).collect()) == [1, 1, 2, 2]
+
+
+def _window_score(rows):
+    """A score that needs each device's earlier readings."""
+    from pyspark.sql import Window
+
+    from rigsense.operators.scale import latest_per_key
+
+    run = Window.partitionBy("miner_id").orderBy("timestamp").rowsBetween(-12, 0)
+    scored = rows.withColumns({
+        "risk_score": F.round(F.avg("asic_temperature_c").over(run) / 200, 9), "risk_band": F.lit("low"), "predicted_failure": F.lit(False)})
+    return latest_per_key(scored, ["miner_id"], [F.col("timestamp").desc()])
+
+
+def test_scores_over_several_files_equal_the_batch(spark, newest_first, sf_dir, tmp_path):
+    hours = 24 * 20
+    jobs.score_job(views.as_kpi(stream(spark, newest_first, sf_dir)), str(tmp_path), str(tmp_path / "ck"), views.AS_OF, hours, _window_score)
+    got = jobs.current_predictions(spark, str(tmp_path)).select("miner_id", "reading_at", "risk_score")
+    recent = views.telemetry(spark, sf_dir).filter(F.col("timestamp").between(F.lit(views.AS_OF - timedelta(hours=hours)), F.lit(views.AS_OF)))
+    want = _window_score(recent).select("miner_id", F.col("timestamp").alias("reading_at"), "risk_score")
+    assert rows(got) == rows(want)
+
+
+def test_a_stored_model_scores_the_stream_like_the_table(spark, sf_dir, tmp_path):
+    from rigsense.plans import training as tr
+    from rigsense.operators.features import feature_set
+
+    kpi, hours = views.kpi(spark, sf_dir), 24 * 20
+    feats = feature_set(kpi).withColumn(tr.S.TARGET, F.when(F.col("id") % 3 == 0, 1).otherwise(0))
+    weights = {"weight_neg": 1.0, "weight_pos": 1.0, "scale_pos_weight": 1.0}
+    model = tr.fit(tr.with_weights(feats, weights), tr.logistic(100.0))
+    model.write().overwrite().save(str(tmp_path / "m" / "model"))
+    spark.createDataFrame([(0.24, ",".join(tr.S.NUMERIC_FEATURES))], "cooling_power_ratio double, feature_columns string").coalesce(1).write.json(str(tmp_path / "m" / "meta"))
+    score = lambda d: tr.score_model(d, views.AS_OF, str(tmp_path / "m"), hours)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for late in (False, True):  # two files, the newer days first
+        events.filter((F.dayofmonth("ts") < 21) == late).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    source = views.as_kpi(stream(spark, str(tmp_path / "src"), sf_dir))
+    jobs.score_job(source, str(tmp_path / "s"), str(tmp_path / "ck"), views.AS_OF, hours, score, peers=True)
+    got = {r["miner_id"]: r["risk_score"] for r in jobs.current_predictions(spark, str(tmp_path / "s")).collect()}
+    # The same rows as one table: medians of KPI columns made per batch differ, so read what the stream stored.
+    stored = spark.read.parquet(str(tmp_path / "s" / "lookback")).drop("slot")
+    want = {r["miner_id"]: r["risk_score"] for r in score(stored).collect()}
+    assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-9 for m in want) and len(set(want.values())) > 3
+
+
+def test_lookback_store_expires_and_takes_repeats(spark, tmp_path):
+    start, path = datetime(2024, 1, 1), str(tmp_path / "l")
+    make = lambda hs: spark.createDataFrame([(i, d, start + timedelta(hours=h), float(h)) for i, h in enumerate(hs) for d in ("a", None)], "id int, miner_id string, timestamp timestamp, v double")
+    for day in range(4):
+        hs = [24 * day + h for h in (20, 3, 3, 11)]
+        for _ in (1, 2):  # each batch comes twice
+            got = jobs.keep_lookback(make([*hs, 24 * day - 30]), path, start + timedelta(hours=24 * (day + 1)), 24)
+            assert sorted((r["miner_id"] or "", r["v"]) for r in got.collect()) == sorted((d, float(h)) for h in set(hs) for d in ("a", ""))
+    assert spark.read.parquet(path).select("slot").distinct().count() <= jobs.RING and spark.read.parquet(path).count() <= 4 * 6
+    none = spark.createDataFrame([], "id int, miner_id string, timestamp timestamp, v double")
+    assert jobs.keep_lookback(none, str(tmp_path / "none"), start, 24).isEmpty()
+
+
+def test_a_batch_reads_only_alert_days_of_the_cooldown(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    fields = StructType().add("created_at", "timestamp").add("miner_id", "string")
+    for day in (1, 2, 3):
+        at = datetime(2024, 1, day, 12)
+        spark.createDataFrame([(at, "a")], fields).write.parquet(str(tmp_path / f"created_date={at.date()}" / "batch=0"))
+    got = jobs.recent_alerts(spark, str(tmp_path), fields, datetime(2024, 1, 3, 1))
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 1 and "created_date" in scan.split("PartitionFilters: [")[1].split("]")[0]
