@@ -40,8 +40,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    return token_files.read(spark, files)
+    path = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_files.read(spark, path)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

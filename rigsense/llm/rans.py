@@ -22,6 +22,7 @@ LANES = 1024  # states that advance together in one numpy step
 CHECK_ROWS = 256  # rows of lanes between two checkpoints
 MAGIC = b"RANB"
 _HEAD = struct.Struct("<4sIIIII")
+_CUT = struct.Struct("<III")
 _LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << SCALE) - 1)
 _WORD = np.uint64(32)
@@ -32,6 +33,7 @@ class Frequencies:
     """Scaled frequencies: ids that occur get at least 1, and all sum to 2**SCALE."""
 
     def __init__(self, counts: np.ndarray):
+        """Scale ``counts``, how often each id occurs."""
         counts = np.asarray(counts, np.int64)
         seen = np.flatnonzero(counts)
         if seen.size > 1 << SCALE:
@@ -41,9 +43,26 @@ class Frequencies:
             room = (1 << SCALE) - seen.size
             scaled[seen] = 1 + (counts[seen].astype(np.float64) / counts.sum() * room).astype(np.int64)
             scaled[seen[np.argmax(counts[seen])]] += (1 << SCALE) - scaled.sum()
+        self._derive(scaled)
+
+    def _derive(self, scaled: np.ndarray) -> None:
         self.each = scaled.astype(np.uint64)
         self.below = (np.cumsum(scaled) - scaled).astype(np.uint64)
-        self.owner = np.repeat(np.arange(counts.size, dtype=np.uint32), scaled)
+        self.owner = np.repeat(np.arange(scaled.size, dtype=np.uint32), scaled)
+
+    def to_bytes(self) -> bytes:
+        """The scaled frequency of each id as a uint32, behind the crc32 of them."""
+        body = self.each.astype("<u4").tobytes()
+        return struct.pack("<I", zlib.crc32(body)) + body
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Frequencies:
+        """The table that ``to_bytes`` wrote; raises if it does not match its checksum."""
+        if len(raw) < 4 or zlib.crc32(raw[4:]) != struct.unpack_from("<I", raw)[0]:
+            raise ValueError("the frequency table is damaged")
+        table = cls.__new__(cls)
+        table._derive(np.frombuffer(raw, "<u4", offset=4).astype(np.int64))
+        return table
 
 
 def _lanes(n: int) -> int:
@@ -99,28 +118,44 @@ class Block:
         self._raw = raw
         self._words = np.frombuffer(raw, "<u4", words, self._marks + self.segments * self._step)
 
-    def segment(self, k: int, table: Frequencies) -> np.ndarray:
-        """The ids of segment k; raises if they don't match its checksum."""
+    def cut(self, k: int) -> bytes:
+        """Segment k alone: lanes, ids, crc32, then the states and the words that it reads."""
         at = self._marks + k * self._step
         place, crc = struct.unpack_from("<II", self._raw, at)
-        state = np.frombuffer(self._raw, "<u8", self.lanes, at + 8).copy()
-        lo, hi = k * CHECK_ROWS * self.lanes, min(self.n, (k + 1) * CHECK_ROWS * self.lanes)
-        ids = np.empty(hi - lo, np.uint32)
-        for row in range(0, hi - lo, self.lanes):
-            x = state[:min(self.lanes, hi - lo - row)]
-            slot = x & _MASK
-            now = table.owner[slot]
-            ids[row:row + x.size] = now
-            x = table.each[now] * (x >> _BITS) + slot - table.below[now]
-            low = x < _LOW
-            taken = int(np.count_nonzero(low))
-            x[low] = (x[low] << _WORD) | self._words[place:place + taken]
-            place += taken
-            state[:x.size] = x
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"segment {k} of a block is damaged")
-        return ids
+        stop = struct.unpack_from("<I", self._raw, at + self._step)[0] if k + 1 < self.segments else self._words.size
+        size = min(self.n, (k + 1) * CHECK_ROWS * self.lanes) - k * CHECK_ROWS * self.lanes
+        states = self._raw[at + 8:at + self._step]
+        return _CUT.pack(self.lanes, size, crc) + states + self._words[place:stop].tobytes()
+
+    def segment(self, k: int, table: Frequencies) -> np.ndarray:
+        """The ids of segment k; raises if they don't match its checksum."""
+        return decode_segment(self.cut(k), table)
 
     def ids(self, table: Frequencies) -> np.ndarray:
         parts = [self.segment(k, table) for k in range(self.segments)]
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+
+
+def decode_segment(raw: bytes, table: Frequencies) -> np.ndarray:
+    """The ids of a segment that ``Block.cut`` took out; raises if they don't match its checksum."""
+    lanes, size, crc = _CUT.unpack_from(raw)
+    state = np.frombuffer(raw, "<u8", lanes, _CUT.size).copy()
+    words = np.frombuffer(raw, "<u4", offset=_CUT.size + 8 * lanes)
+    ids = np.empty(size, np.uint32)
+    place = 0
+    for row in range(0, size, lanes):
+        x = state[:min(lanes, size - row)]
+        slot = x & _MASK
+        now = table.owner[slot]
+        ids[row:row + x.size] = now
+        x = table.each[now] * (x >> _BITS) + slot - table.below[now]
+        low = x < _LOW
+        taken = int(np.count_nonzero(low))
+        if place + taken > words.size:
+            raise ValueError("a segment is damaged")
+        x[low] = (x[low] << _WORD) | words[place:place + taken]
+        place += taken
+        state[:x.size] = x
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("a segment is damaged")
+    return ids
