@@ -2,10 +2,11 @@
 
 A document longer than a sequence is cut into whole sequences and a rest; nothing else is cut. The plan
 needs only how many pieces of each length there are, at most one count per length: taking lengths from
-the longest down, a piece's gap is filled exactly by one, two or three other lengths if such are left
-(looked up by what is missing to a single, a pair and a triple sum), as many times at once as the counts allow. What finds no exact
-complement is packed best fit, also many equal sequences at once. The plan says which ranks of a length
-go to which sequences, so each piece finds its place by its rank among pieces of its length.
+the longest down, a piece's gap is filled exactly by one, two or three other lengths, read from an index
+of single, pair and triple sums (``SumIndex``) at the key of the gap. Each combination there is consumed as
+many times as the counts allow. What finds no exact complement is packed best fit, also many equal sequences
+at once. The plan says which ranks of a length go to which sequences, so each piece finds its place by its
+rank among pieces of its length.
 
 Defined results: a null text is an empty one; a document without ids still has its end id. Repeated rows
 are packed each. An empty table gives an empty result. Columns beside key and text are not looked at.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from rigsense.llm.base import running_totals, stage
 from rigsense.llm.tokens import token_rows, unpack
 
+MAX_PAIRS = 1 << 24  # pairs the index of sums keeps; a room of 8192 and every length stay below it
 Slots = list[tuple[int, int, int, int, int]]  # length, first rank, count, first sequence, offset in the sequence
 
 
@@ -65,55 +67,91 @@ def plan(counts: np.ndarray, room: int) -> tuple[Slots, int]:
             if taken < times:
                 open_bins.append((space, first + taken, times - taken))
 
-    while left.any():
-        longest = int(np.flatnonzero(left)[-1])
-        filled = _complement(left, longest, room - longest)
-        if filled is None:
-            best_fit(longest)
-            continue
-        members = [longest, *filled]
-        times = min(int(left[m]) // members.count(m) for m in set(members))
-        offset = 0
-        for m in members:
-            place(m, times, sequences, offset)
-            offset += m
-        sequences += times
+    index = SumIndex(np.flatnonzero(left))
+    for longest in range(room, 0, -1):
+        for members in index.complements(longest, room - longest, left):
+            times = min(int(left[m]) // members.count(m) for m in set(members))
+            offset = 0
+            for m in members:
+                place(m, times, sequences, offset)
+                offset += m
+            sequences += times
+        best_fit(longest)
     return slots, sequences
 
 
-def _complement(left: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None:
-    """Up to three lengths that are left and sum up to ``gap`` exactly; fewest and then longest first."""
-    if gap == 0:
-        return ()
-    spare = left.copy()
-    spare[longest] -= 1
-    have = np.flatnonzero(spare[:gap + 1] > 0)
-    if have.size == 0:
-        return None
-    if have[-1] == gap:
-        return (gap,)
-    ok = np.zeros(gap + 1, bool)
-    ok[have] = True
-
-    def pair(total: int, taken: int = 0) -> tuple[int, int] | None:
-        a = have[have * 2 > total]
-        a = a[a < total]
-        found = a[ok[total - a]]
-        if taken:  # a third piece of length ``taken`` is in use already
-            short = spare[taken] < 2
-            found = found[~(short & ((found == taken) | (total - found == taken)))]
-        if found.size:
-            return int(found[-1]), int(total - found[-1])
-        half = total // 2
-        needed = 3 if half == taken else 2
-        return (half, half) if total % 2 == 0 and half and spare[half] >= needed else None
-
-    if found := pair(gap):
-        return found
-    for a in have[::-1]:
-        if found := pair(gap - int(a), int(a)):
-            return (int(a), *found)
-    return None
+class SumIndex:
+    """Sums of one, two and three lengths, each a hash table from the sum to the combinations that have it.
+
+    A sum is entered when it is first asked for. Counts only fall, so a combination that has run out never
+    comes back and each key is walked once. Combinations are kept apart from counts: the table of pairs has
+    every pair of lengths that occur, and a triple is kept as its longest member and the key of the pair
+    beside it. Beyond ``MAX_PAIRS`` entries the pairs are dropped and entered again when asked for.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        self.lengths = lengths  # ascending
+        self.singles = {int(n): int(n) for n in lengths}
+        self._present = np.zeros(int(lengths[-1]) + 1 if lengths.size else 1, bool)
+        self._present[lengths] = True
+        self._pairs: dict[int, np.ndarray] = {}
+        self._triples: dict[int, np.ndarray] = {}
+        self._held = 0
+
+    def pairs(self, total: int) -> np.ndarray:
+        """The longer members of all pairs with this sum, longest first."""
+        if total not in self._pairs:
+            lo, hi = np.searchsorted(self.lengths, (-(-total // 2), total))
+            longer = self.lengths[lo:hi]
+            found = longer[self._present[total - longer]][::-1]
+            if self._held + found.size > MAX_PAIRS:
+                self._pairs.clear()
+                self._held = 0
+            self._pairs[total] = found
+            self._held += found.size
+        return self._pairs[total]
+
+    def triples(self, total: int) -> np.ndarray:
+        """The longest members of all triples with this sum, longest first; the pair beside one is at its own key."""
+        if total not in self._triples:
+            lo, hi = np.searchsorted(self.lengths, (-(-total // 3), total))
+            self._triples[total] = self.lengths[lo:hi][::-1]
+        return self._triples[total]
+
+    def complements(self, length: int, gap: int, left: np.ndarray) -> Iterator[list[int]]:
+        """``length`` with lengths that fill its gap exactly, as long as ``left`` has all of them.
+
+        Fewest members first, then the longest; the caller takes as many as there are before it goes on.
+        """
+        if left[length] and gap == 0:
+            yield [length]
+        if left[length] and gap in self.singles and left[gap] >= 1 + (gap == length):
+            yield [length, gap]
+        for longer in self._live((length,), self.pairs(gap), gap, left):
+            yield [length, longer, gap - longer]
+        for first in self.triples(gap).tolist():
+            if not left[length]:
+                return
+            if left[first] > (first == length):
+                beside = self.pairs(gap - first)
+                beside = beside[np.searchsorted(-beside, -first):]  # a triple is found at its longest member only
+                for longer in self._live((length, first), beside, gap - first, left):
+                    yield [length, first, longer, gap - first - longer]
+
+    @staticmethod
+    def _live(taken: tuple[int, ...], longer: np.ndarray, total: int, left: np.ndarray) -> Iterator[int]:
+        """Those of the pairs that ``left`` has beside ``taken``, looked at again after each one."""
+        while longer.size and all(left[n] >= taken.count(n) for n in taken):
+            shorter = total - longer
+            need_long, need_short = 1 + (longer == shorter), np.ones(longer.size, np.int64)
+            for n in taken:
+                need_long += longer == n
+                need_short += shorter == n
+            found = np.flatnonzero((left[longer] >= need_long) & (left[shorter] >= need_short))
+            if not found.size:
+                return
+            yield int(longer[found[0]])
+            longer = longer[found[0] + 1:]
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int, room: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators with one right answer, against plain Python."""
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -123,10 +124,23 @@ def test_rans_round_trip(n, values):
             rans.Block(bytes(bad)).ids(table)
 
 
-def test_token_files(spark, documents, monkeypatch):
+@pytest.mark.parametrize("size", [0, 5, 70_000])
+def test_frequency_table_is_stored_with_a_checksum(size):
+    table = rans.Frequencies(np.random.default_rng(size).poisson(2, size))
+    raw = table.to_bytes()
+    again = rans.Frequencies.from_bytes(raw)
+    assert all((getattr(again, c) == getattr(table, c)).all() for c in ("each", "below", "owner"))
+    for bad in (raw[:-1] + bytes([raw[-1] ^ 1]), raw[:3]):
+        with pytest.raises(ValueError):
+            rans.Frequencies.from_bytes(bad)
+
+
+def test_token_files(spark, documents, monkeypatch, tmp_path):
     monkeypatch.setattr(token_files, "PART_IDS", 5000)
-    files = token_files.write(documents, BYTE_BPE, 2)
-    found = token_files.read(spark, files, with_ids=True).orderBy("start").collect()
+    path = token_files.write(documents, BYTE_BPE, 2, path=str(tmp_path / "files"))
+    light = {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read(spark, path).collect()}
+    found = token_files.read(spark, path, with_ids=True).orderBy("start").collect()
+    assert light == {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found}
     whole = Tokenizer.from_file(BYTE_BPE)
     want = Counter()
     for k, t in rows_of(documents):
@@ -141,6 +155,29 @@ def test_token_files(spark, documents, monkeypatch):
         at += r["n_tokens"]
 
 
+def test_token_files_with_documents_over_checkpoints(spark, tmp_path):
+    """Documents of up to 1.3 million ids: over checkpoints, several of them, and over the size of a block."""
+    sizes = [1, 30_000, 262_000, 5, 1_300_000, 0, 90_000, 200_000, 700_000]
+    texts = [(k, " ".join(f"{(k + 7) * i % 977}" for i in range(n // 2))) for k, n in enumerate(sizes)]
+    path = token_files.write(spark.createDataFrame(texts, "doc_id long, text string"), BYTE_BPE, 2, path=str(tmp_path / "files"))
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert max(rans.Block(bytes(r["body"])).segments for r in blocks.select("body").collect()) > 3
+    light = {r["doc_id"]: r for r in token_files.read(spark, path).collect()}
+    full = {r["doc_id"]: r for r in token_files.read(spark, path, with_ids=True).collect()}
+    whole, at = Tokenizer.from_file(BYTE_BPE), 0
+    for k, text in texts:
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        assert (light[k]["start"], light[k]["n_tokens"], light[k]["ids_crc32"]) == (at, len(ids), crc(ids))
+        assert bytes(full[k]["ids"]) == np.array(ids, "<u4").tobytes() and full[k]["ids_crc32"] == crc(ids)
+        at += len(ids)
+
+
+def test_token_files_of_nothing(spark, documents, tmp_path):
+    path = token_files.write(documents.limit(0), BYTE_BPE, 2, path=str(tmp_path / "files"))
+    assert token_files.read(spark, path).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert token_files.read(spark, path, with_ids=True).count() == 0
+
+
 # ----------------------------------------------------------------------------- packing
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_each_piece_once(seed):
@@ -165,6 +202,33 @@ def test_plan_places_each_piece_once(seed):
     assert len(used) == sequences <= least + max(2, least // 12)
 
 
+@pytest.mark.parametrize("most", [1 << 24, 3])
+def test_sum_index_finds_every_complement(monkeypatch, most):
+    """What the index says is left to fill a gap, against all combinations of up to three lengths."""
+    monkeypatch.setattr(packing, "MAX_PAIRS", most)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        room = int(rng.integers(4, 40))
+        left = rng.integers(0, 4, room + 1) * (rng.random(room + 1) < 0.5)
+        left[0] = 0
+        index = packing.SumIndex(np.flatnonzero(left))
+        for length in np.flatnonzero(left).tolist():
+            spare = left.copy()
+            spare[length] -= 1
+            lengths = np.flatnonzero(spare).tolist()
+            want = {c for n in range(4) for c in itertools.combinations_with_replacement(lengths, n)
+                    if sum(c) == room - length and all(spare[m] >= c.count(m) for m in c)}
+            found = [tuple(sorted(m[1:])) for m in index.complements(length, room - length, left)]
+            assert len(found) == len(set(found)) and set(found) == want
+        counts = left.copy()
+        for length in np.flatnonzero(counts).tolist()[::-1]:
+            for members in index.complements(length, room - length, counts):
+                times = min(int(counts[m]) // members.count(m) for m in set(members))
+                assert times > 0 and sum(members) == room
+                for m in members:
+                    counts[m] -= times
+
+
 def test_packing(documents):
     found = packing.with_crc(packing.pack(documents, WORD_BPE)).collect()
     whole = Tokenizer.from_file(WORD_BPE)
