@@ -35,23 +35,21 @@ def time_window(
 
 
 # --------------------------------------------------------------------------- correlations
-def _centre(column: str) -> float:
-    lo, hi = S.PLAUSIBLE_RANGES.get(column, (0.0, 0.0))
-    return (lo + hi) / 2
-
-
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson r of every pair (a, b) with a not after b, in one scan.
 
     Rows are grouped by which columns are missing. Inside such a group every column is either
     complete or absent, so one sum per column and one per pair of columns are enough, and the
     groups that have both columns add up to the pair. Sums are taken around each column's mean,
-    which one scan before finds; that keeps them accurate for narrow columns.
+    which one scan before finds; that keeps them accurate for narrow columns. (One scan of ``covar_pop`` per
+    pair is as accurate, but keeps four numbers a pair and takes twice the time of both scans.) NaN is
+    missing; a column with an infinite value has no correlation.
     """
     cols = list(columns)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    df = df.select(*[F.expr(f"nullif(CAST(`{c}` AS DOUBLE), double('NaN'))").alias(c) for c in cols])
+    means = df.agg(*[F.avg(f"`{c}`").alias(c) for c in cols]).first()
     centre = {c: means[c] if means[c] is not None and isfinite(means[c]) else 0.0 for c in cols}
-    x = {c: f"(CAST(`{c}` AS DOUBLE) - {centre[c]!r}D)" for c in cols}
+    x = {c: f"(`{c}` - {centre[c]!r}D)" for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     missing = "concat(" + ", ".join(f"if(`{c}` IS NULL, '1', '0')" for c in cols) + ")"
     sums = df.groupBy(F.expr(missing).alias("_missing")).agg(
@@ -68,7 +66,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     # What rounding leaves of a constant column's spread counts as no spread.
     spread = "if({0}{0} - s{0} * s{0} / n > 1e-12D * {0}{0}, sqrt({0}{0} - s{0} * s{0} / n), NULL)"
     va, vb = (spread.format(c).replace(f"{c}{c}", f"s{c}{c}") for c in "ab")
-    r = F.expr(f"(sab - sa * sb / n) / ({va} * {vb})")
+    r = F.expr(f"nullif((sab - sa * sb / n) / ({va} * {vb}), double('NaN'))")
     return total.select("a", "b", F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r).alias("r"))
 
 

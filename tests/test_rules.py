@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,15 @@ def test_narrow_columns_correlate(spark):
     assert got.get(("a", "c")) is None
     with pytest.raises(ValueError):
         tradeoff_points(df, 5001)
+
+
+def test_nan_is_missing_in_correlations(spark):
+    from rigsense.operators.analytics import pair_correlations
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 2.0, 1.0, nan), (2.0, 4.5, inf, nan), (nan, 9.0, 2.0, nan), (None, 1.0, 3.0, nan), (4.0, 7.0, 5.0, None), (6.0, nan, 1.0, nan)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r["a"], r["b"]): r["r"] for r in pair_correlations(df, ["a", "b", "c", "d"]).collect()}
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4.5, 7])[0, 1])
+    assert got["a", "a"] == pytest.approx(1) and got["b", "b"] == pytest.approx(1)
+    assert all(got.get((x, "c")) is None for x in "abc") and all(got.get((x, "d")) is None for x in "abcd")
