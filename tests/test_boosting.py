@@ -47,3 +47,24 @@ def test_it_learns_and_is_stored(spark, rows, tmp_path):
     assert rows.count() == scored.filter("p between 0 and 1").count()
     gain = model.stages[-1].featureImportances.toArray()
     assert gain.sum() == pytest.approx(1) and gain[2] < gain[0] and gain[2] < gain[1]
+
+
+def test_a_branch_adds_up_the_smaller_children_only(monkeypatch):
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, boosting.BINS, (4000, 5)).astype(np.uint8)
+    y = ((bins[:, 0] > 30) != (bins[:, 3] > 40)).astype(float)
+    g, h = boosting._slopes(y, np.ones(4000), np.zeros(4000))
+    added, direct = [], boosting.sums
+
+    def counted(columns, node, *rest):
+        added.append(len(node))
+        return direct(columns, node, *rest)
+
+    monkeypatch.setattr(boosting, "sums", counted)
+    tree, features = boosting.Tree(6), np.array([0, 1, 3, 4])
+    leaf = tree.grow(0, bins.T[features], g, h, features, 0.3)
+    assert sum(added) <= 4000 * (1 + 5 / 2)  # the root, then at most half of the rows a level, none for the last
+    assert (leaf == tree.descend(bins)).all()
+    for node in np.unique(leaf):  # values come from differences of sums, yet are exact
+        own = leaf == node
+        assert tree.value[node] == -0.3 * g[own].sum() / (h[own].sum() + boosting.LAMBDA)
