@@ -13,6 +13,7 @@ POLLED = [
     "chip_temp_max", "chip_temp_std", "expected_hashrate_ths",
 ]
 POLLED_INTS = ["bad_hash_count", "double_hash_count", "read_errors"]
+SENT_SOURCES = 50_000  # sources whose mappings are sent to every executor
 
 
 def payload_to_rows(df: DataFrame, payload: str, types: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,14 +51,19 @@ def payload_per_device(df: DataFrame, types: dict[str, str], keys: tuple[str, ..
 def polled_records(df: DataFrame, mappings: DataFrame, body: str = "body", source: str = "source_name") -> DataFrame:
     """Polled JSON bodies (a list or a single object) to telemetry rows.
 
-    ``mappings`` has (source_name, field_mapping) with a map from our names to the source's.
+    ``mappings`` has (source_name, field_mapping) with a map from our names to the source's. It is a settings
+    table of a row per source, and few sources hold all bodies: it goes to the rows, a shuffle by source would
+    put all bodies of a source into one task. Only where it is too long for that is it joined by shuffle.
     Records without device id or a readable time are dropped; the source is kept as origin.
     """
     text = F.trim(body)
     as_list = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     records = df.withColumn("_items", F.from_json(as_list, "array<map<string,string>>")).select(
         *[c for c in df.columns if c != body], F.explode("_items").alias("_item"))
-    joined = records.join(mappings.select(source, "field_mapping"), source, "left")
+    known = mappings.select(source, "field_mapping")
+    if known.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
+        known = F.broadcast(known)
+    joined = records.join(known, source, "left")
 
     def get(name: str) -> Column:
         theirs = F.coalesce(F.try_element_at("field_mapping", F.lit(name)), F.lit(name))

@@ -68,6 +68,21 @@ def test_polled_records_skip_bad_rows(spark):
     assert row["read_errors"] == 5 and row["bad_hash_count"] is None and row["chip_temp_max"] is None
 
 
+def test_polled_records_send_the_mappings(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id", "concat('s', id % 3) AS source_name", """concat('{"miner_id":"a","worker":"b","timestamp":"2024-01-01T00:00:00"}') AS body""")
+    maps = spark.createDataFrame([("s0", {"miner_id": "worker"}), ("s1", None)], "source_name string, field_mapping map<string,string>")
+    maps = maps.join(spark.range(1), how="cross").select(*maps.columns)  # of no size that Spark knows
+    make = lambda: payloads.polled_records(df, maps)
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    sent, shuffled = make(), None
+    assert "broadcast" in plan(sent)
+    monkeypatch.setattr(payloads, "SENT_SOURCES", 1)
+    shuffled = make()
+    assert "broadcast" not in plan(shuffled)
+    assert sorted(sent.select("id", "miner_id").collect()) == sorted(shuffled.select("id", "miner_id").collect())
+    assert {(r["id"] % 3, r["miner_id"]) for r in sent.collect()} == {(0, "b"), (1, "a"), (2, "a")}
+
+
 def test_payload_has_nulls_but_no_nan(spark):
     df = spark.createDataFrame([("m-1", float("nan"))], "miner_id string, asic_voltage_v double")
     text = one(payloads.rows_to_payload(df, {"miner_id": "string", "asic_voltage_v": "double", "read_errors": "int"}))["payload"]
