@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rigsense.llm.base import running_totals, stage
-from rigsense.llm.tokens import token_rows, unpack
+from rigsense.llm.base import running_totals, slices, stage
+from rigsense.llm.tokens import token_bodies, unpack
 
 MAX_PAIRS = 1 << 24  # pairs the index of sums keeps; a room of 8192 and every length stay below it
 Slots = list[tuple[int, int, int, int, int]]  # length, first rank, count, first sequence, offset in the sequence
@@ -155,25 +155,31 @@ class SumIndex:
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int, room: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length and ids."""
+    """One row per piece: doc_id, piece, start, length and ids.
+
+    One worker a task encodes and cuts: of two in a row, which change places from task to task, each would
+    come to hold a tokenizer and its table of pieces.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.asarray(batch.column(1))
-            per = -(-counts // room)
-            owner = np.repeat(np.arange(counts.size), per)
-            piece = np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)
-            start = piece * room
-            length = np.minimum(room, counts[owner] - start)
-            bodies = []
-            for n, body in zip(counts, batch.column(2)):
-                raw = body.as_py()
-                step = len(raw) // int(n) * room
-                bodies += [raw[lo:lo + step] for lo in range(0, len(raw), step)]
-            columns = [batch.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
-
-    return token_rows(documents, tokenizer, end_id, text, key).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+            for part in slices(batch, "_text"):
+                counts, whole = token_bodies(part.column(1), tokenizer, end_id)
+                per = -(-counts // room)
+                owner = np.repeat(np.arange(counts.size), per)
+                piece = np.arange(owner.size) - np.repeat(np.cumsum(per) - per, per)
+                start = piece * room
+                length = np.minimum(room, counts[owner] - start)
+                bodies = []
+                for n, raw in zip(counts, whole):
+                    step = len(raw) // int(n) * room
+                    bodies += [raw[lo:lo + step] for lo in range(0, len(raw), step)]
+                columns = [part.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
+            pa.default_memory_pool().release_unused()  # as in map_texts
+
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack(documents: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:

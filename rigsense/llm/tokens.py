@@ -156,18 +156,23 @@ def unpack(body: bytes, n: int) -> np.ndarray:
     return np.frombuffer(body, "<u4" if n and len(body) // n == 4 else "<u2").astype(np.uint32)
 
 
+def token_bodies(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, list[bytes]]:
+    """The number of ids of each text and the ids (little-endian, of two bytes if the vocabulary allows, else four), with the end id."""
+    ids, counts = encode(texts, path)
+    stops = np.cumsum(counts + 1)
+    whole = np.full(ids.size + counts.size, end_id, f"<u{id_width(path, end_id)}")
+    inner = np.ones(whole.size, bool)
+    inner[stops - 1] = False
+    whole[inner] = ids
+    return counts + 1, [whole[stop - n - 1:stop].tobytes() for stop, n in zip(stops, counts)]
+
+
 def token_rows(documents: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, of two bytes if the vocabulary allows, else four) with the end id."""
+    """doc_id, n_tokens and ids as in ``token_bodies``."""
 
     def run(batch: pa.RecordBatch) -> list:
-        ids, counts = encode(batch.column(batch.schema.get_field_index("_text")), path)
-        stops = np.cumsum(counts + 1)
-        whole = np.full(ids.size + counts.size, end_id, f"<u{id_width(path, end_id)}")
-        inner = np.ones(whole.size, bool)
-        inner[stops - 1] = False
-        whole[inner] = ids
-        bodies = [whole[stop - n - 1:stop].tobytes() for stop, n in zip(stops, counts)]
-        return [pa.array(counts + 1), pa.array(bodies, pa.binary())]
+        counts, bodies = token_bodies(batch.column(batch.schema.get_field_index("_text")), path, end_id)
+        return [pa.array(counts), pa.array(bodies, pa.binary())]
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]

@@ -517,3 +517,9 @@ def test_text_bytes_of_slices():
 
 def test_query_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_pieces_take_one_worker_a_task(small_documents):
+    """Chained workers change places from task to task, so that each comes to hold a tokenizer."""
+    plan = packing.pieces(small_documents, WORD_BPE, 0, 2048)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
