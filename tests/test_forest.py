@@ -51,6 +51,9 @@ def test_leaves_are_shares_of_enough_rows():
         own, weight = leaf == node, count * w
         assert count[own].sum() >= 30 and value[node] == pytest.approx((weight * y)[own].sum() / weight[own].sum())
     assert gain.argmax() == 1
+    for node in np.flatnonzero(feature[:15] >= 0):  # no two sibling leaves of one class
+        left, right = 2 * node + 1, 2 * node + 2
+        assert feature[left] >= 0 or feature[right] >= 0 or (value[left] > 0.5) != (value[right] > 0.5)
 
 
 def test_more_rows_than_a_task_holds(rows, monkeypatch):
