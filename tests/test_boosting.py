@@ -68,3 +68,27 @@ def test_a_branch_adds_up_the_smaller_children_only(monkeypatch):
     for node in np.unique(leaf):  # values come from differences of sums, yet are exact
         own = leaf == node
         assert tree.value[node] == -0.3 * g[own].sum() / (h[own].sum() + boosting.LAMBDA)
+
+
+def test_tasks_that_share_the_rows_make_the_same_trees(rows, monkeypatch):
+    make = lambda: boosting.HistogramBoosting(5, 4, 0.3, weight="weight").fit(rows)
+    alone = make()
+    monkeypatch.setattr(boosting, "IN_TASK", 0)
+    monkeypatch.setattr(boosting, "SHARE", 150, raising=False)
+
+    def a_job_per_level(*args):
+        raise AssertionError("more rows than one task holds took jobs for every tree")
+
+    monkeypatch.setattr(boosting.HistogramBoosting, "_round", a_job_per_level)
+    assert trees(alone) == trees(make())
+
+
+def test_features_added_up_in_pairs():
+    rng = np.random.default_rng(4)
+    columns = rng.integers(0, boosting.BINS, (5, 20_000)).astype(np.uint8)
+    node, g = rng.integers(0, 2, 20_000), rng.integers(-9, 9, 20_000).astype(float)
+    total = boosting.sums(columns, node, g, g ** 2, 2)
+    for k, values in enumerate((g, g ** 2)):
+        for f, column in enumerate(columns):
+            for n in range(2):
+                assert (total[k, n, f] == np.bincount(column[node == n], values[node == n], boosting.BINS)).all()
