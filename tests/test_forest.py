@@ -60,3 +60,27 @@ def test_more_rows_than_a_task_holds(rows, monkeypatch):
     monkeypatch.setattr(forest, "IN_TASK", 100)
     model = forest.HistogramForest(3, 4, weight="weight").fit(rows)
     assert isinstance(model, RandomForestClassificationModel) and model.getNumTrees == 3
+
+
+def test_classes_counted_in_one_sum_make_the_same_tree(monkeypatch):
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 32, (200_000, 9)).astype(np.uint8)
+    y = (bins[:, 1].astype(int) + bins[:, 4] + rng.integers(0, 9, 200_000) > 35).astype(np.uint8)
+    w = np.where(y == 1, 2.0, 0.5)  # sums of these are exact either way
+    make = lambda: forest.grow(bins, y, w, np.random.default_rng(5), 7, 5)
+    one = make()
+    for name in ("MOST_COUNTED", "PAIRED"):  # three sums instead of one; features one by one
+        monkeypatch.setattr(forest, name, 0)
+        for a, b in zip(one, make()):
+            assert (a == b).all()
+
+
+def test_tasks_map_one_file_of_the_rows(rows, monkeypatch):
+    make = lambda: probabilities(forest.HistogramForest(7, 5, 3, weight="weight").fit(rows.repartition(5, "id")), rows)
+    copied, mapped = [], make()
+    monkeypatch.setattr(forest, "shared_folder", lambda *args: copied.append(args))
+    assert make() == mapped and copied
+
+
+def test_a_table_of_six_gigabytes_is_grown_here():
+    assert forest.IN_TASK >= 36_000_000
